@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe
+from plumbline.llm import bpe, exact_dedup, langid, mixing, simhash
 from plumbline.llm.common import sha256, table
 
 
@@ -24,5 +24,63 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip,)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = langid.identify(docs, langid.train(docs), keep=["doc_id"])
+    return done.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_simhash_near_dedup, op5_source_mix, op6_language_id, op8_exact_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": """
+        WITH t AS (
+            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+            FROM documents
+        )
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+        FROM t WINDOW g AS (PARTITION BY text_sha256)
+    """,
+    "op5_source_mix": r"""
+        WITH t AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place
+            FROM t GROUP BY source
+        ), w AS (
+            SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5.0e0 WHEN 1 THEN 2.0e0 ELSE 1.0e0 END AS weight, 2 * source_size AS lim,
+                   1.5e0 * sum(source_size) OVER () AS total
+            FROM s
+        ), r AS (
+            SELECT *, coalesce(sum(lim) OVER b, 0) AS full_before,
+                   sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open_weight
+            FROM w WINDOW b AS (ORDER BY lim / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), l AS (
+            SELECT *, max((total - full_before) / open_weight) OVER () AS level
+            FROM r
+        ), g AS (
+            SELECT source, source_size, least(weight * level, lim) AS target FROM l
+        ), p AS (
+            SELECT t.*, g.source_size, g.target, round(g.target)::BIGINT AS goal,
+                   sum(size) OVER (PARTITION BY t.source ORDER BY (size > 0), o, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
+            FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source
+        )
+        SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+               (greatest(0, least(start + size, goal) - start) + greatest(0, least(start + source_size + size, goal) - start - source_size))::BIGINT AS taken
+        FROM p
+    """,
+}
