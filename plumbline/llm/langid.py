@@ -154,8 +154,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     return ByteCNN(languages).fit(rows, np.array([languages.index(r.lang) for r in got]))
 
 
-def identify(df: DataFrame, network: ByteCNN | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to the rows of ``df``."""
+def identify(df: DataFrame, network: ByteCNN | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its probability to the rows of ``df``."""
     shared = df.sparkSession.sparkContext.broadcast(network)
 
     def make():
@@ -179,4 +179,4 @@ def identify(df: DataFrame, network: ByteCNN | None, text: str = "text", keep: l
 
         return work
 
-    return add_columns(df, text, make, "lang_pred string, score double", keep)
+    return add_columns(df, text, make, "`{}` string, `{}` double".format(*names), keep)

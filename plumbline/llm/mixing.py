@@ -138,3 +138,15 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", id_col: str =
     return every.join(named, F.col("source").eqNullSafe(F.col("__source"))).select(
         "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"
     )
+
+
+def mixed(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, to the nearest whole document.
+
+    Rows that share a doc_id and a size share what is taken of them.
+    """
+    taken = mix(df, text, source, id_col, **options).filter("taken > 0").groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    copies = cut(taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.round(F.col("taken") / (F.col("size") * F.col("rows"))).cast("int").alias("__copies")).filter("__copies > 0"))
+    sized = df.withColumn("__words", words(F.col(text)))
+    back = sized.join(copies, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
+    return back.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*df.columns)

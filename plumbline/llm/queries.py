@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, langid, mixing, simhash
+from plumbline.llm import bpe, exact_dedup, langid, lm_score, mixing, quality_rules, secrets, simhash, token_counts, url_filter
 from plumbline.llm.common import sha256, table
 
 
@@ -24,6 +24,16 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = lm_score.score(docs, *lm_score.fitted(docs), keep=["doc_id"])
+    return done.select("doc_id", "n_words", "log_likelihood", F.try_divide("log_likelihood", "n_words").alias("mean_log_likelihood"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,11 +49,42 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op4_simhash_near_dedup, op5_source_mix, op6_language_id, op8_exact_dedup)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The listed entries: host, path prefix, verdict.
+LISTED = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(LISTED, "host string, path string, verdict string"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_pseudo_likelihood,
+        op3_secret_scan,
+        op4_simhash_near_dedup,
+        op5_source_mix,
+        op6_language_id,
+        op7_section_tokens,
+        op8_exact_dedup,
+        op9_quality_rules,
+        op10_url_filter,
+    )
+}
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": """
         WITH t AS (
@@ -83,4 +124,19 @@ ORACLE_SQL: dict[str, str] = {
                (greatest(0, least(start + size, goal) - start) + greatest(0, least(start + source_size + size, goal) - start - source_size))::BIGINT AS taken
         FROM p
     """,
+    "op10_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM u
+        ), r(rule_host, rule_path, listed) AS (
+            VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+        ), m AS (
+            SELECT p.*, r.*, row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS nth
+            FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        )
+        SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(listed, 'allow') AS verdict FROM m WHERE nth = 1
+    """,
 }
