@@ -23,13 +23,18 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, lower_ascii, sha256
 
-#: A chunk ends after a common letter and a blank, from LEAST characters on and at MOST at the latest.
-LEAST, MOST = 1024, 8192
+#: A chunk has from LEAST to MOST characters; the last one may be shorter.
+LEAST, MOST = 64, 8192
+#: In between it ends where seven characters around a blank have odd and even codes in one certain order, as they do
+#: about every 500 characters, or after a full stop of scripts without blanks. So cuts depend on the text beside them
+#: alone, and texts that differ in one place have the same cuts again soon after.
+ODD, EVEN = ("[" + "".join(rf"\x{c:02x}" for c in range(start, 0x7F, 2)) + "]" for start in (0x21, 0x22))
+CUT = rf"(?:{EVEN}{ODD}{EVEN}[\x20\n](?={ODD}{EVEN}{EVEN}{ODD})|[。！？।۔])"
 
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     """The chunks of a text in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?[aeinorst][\x20\n]|.{{1,{most}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 4}}}?{CUT}|.{{1,{most}}}"), F.lit(0))
 
 
 def identifier(chunk: Column) -> Column:

@@ -36,6 +36,8 @@ from plumbline.llm.common import add_columns, cut, raw
 WORDS, SEED = 3, 42
 #: Fingerprints of a key that are paired with each other; keys with more go the exact linear way.
 MOST_PAIRED = 256
+#: Fingerprints whose variants a task makes, about.
+PER_TASK = 20_000
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -93,7 +95,8 @@ def links(distinct: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
     Keys of one fingerprint go at once, keys of two are a pair by their smallest
     and largest; only fuller keys are joined.
     """
-    variants = distinct.select("fp", F.explode(one_out(F.col("fp"))).alias("key"))
+    tasks = distinct.count() // PER_TASK + 1
+    variants = distinct.repartition(tasks, "fp").select("fp", F.explode(one_out(F.col("fp"))).alias("key"))
     keys = cut(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1 and (n > 2 or bit_count(a ^ b) <= 2)"))
     pairs = keys.filter("n = 2").select("a", "b")
     fuller = keys.filter("n > 2").select("key", "n")
