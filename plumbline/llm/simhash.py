@@ -4,14 +4,15 @@ A document's fingerprint has a bit for each of the 64 bits of its shingles'
 hashes, set where over half the hashes have it set. Fingerprints link at two or
 fewer differing bits. Cut into two halves, one half of a linked pair differs by
 at most one bit, so the halves share a variant with one bit left out. Each
-distinct fingerprint is indexed under its 2 x 32 variants; an equality join
-finds the candidates, which are verified on all 64 bits.
-
-Keys with many fingerprints aren't paired: their fingerprints are indexed under
-all 2,016 variants with two bits left out instead. At most four fingerprints
-share such a key and all of them link, so this exact way stays in proportion to
-their number, and no link is lost. Copies of one fingerprint are one row
-throughout. Components come from alternating large-star and small-star rounds,
+distinct half is indexed under its 32 variants; an equality join finds the
+halves beside it, and the fingerprints that have them are verified on all 64
+bits.
+
+Halves with many fingerprints aren't paired: the other halves of these are
+indexed without two of their bits instead (without one, where the halves differ
+in one). At most four fingerprints share such a key and all of them link, so
+this exact way stays in proportion to their number, and no link is lost. Copies
+of one fingerprint are one row throughout. Components come from alternating large-star and small-star rounds,
 each written to the checkpoint folder; nothing is gathered on the driver but a
 count and a checksum of the links.
 
@@ -24,6 +25,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,10 +38,12 @@ from plumbline.llm.common import add_columns, cut, raw
 
 #: Words of a shingle, seed of its hash.
 WORDS, SEED = 3, 42
-#: Fingerprints of a key that are paired with each other; keys with more go the exact linear way.
+#: Fingerprints that are paired with each other; larger groups go the exact linear way.
 MOST_PAIRED = 256
-#: Fingerprints whose variants a task makes, about.
+#: Halves whose variants a task makes, about.
 PER_TASK = 20_000
+#: The bits of a half.
+HALF = 0xFFFFFFFF
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -70,46 +76,73 @@ def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", word
     return add_columns(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", make, "fp long", ["doc_id"])
 
 
-def half(fp: Column, side: int) -> Column:
-    return F.shiftrightunsigned(fp, 32) if side else fp.bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def one_out(fp: Column) -> Column:
-    """The 64 keys of a fingerprint: a half, without one of its bits, beside which bit it is."""
-    return F.array(*[half(fp, side).bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << bit))).bitwiseOR(F.lit((side * 32 + bit) << 32)) for side in (0, 1) for bit in range(32)])
+def halves(fp: Column) -> Column:
+    """Both halves of a fingerprint, the side in bit 32."""
+    return F.array(fp.bitwiseAND(F.lit(HALF)), F.shiftrightunsigned(fp, 32).bitwiseOR(F.lit(1 << 32)))
 
 
-def two_out(fp: Column) -> Column:
-    """The 2,016 keys of a fingerprint: all of it without two of its bits, beside which these are."""
-    masks = F.array(*[F.struct(F.lit(i * 64 + j).alias("bits"), F.lit(~((1 << i) | (1 << j)) if j < 63 else ~((1 << i) | -(1 << 63))).alias("mask")) for i in range(64) for j in range(i + 1, 64)])
-    return F.transform(masks, lambda m: F.struct(m["bits"].alias("bits"), fp.bitwiseAND(m["mask"]).alias("rest")))
+def other(fp: Column, half: Column) -> Column:
+    """What stands beside ``half`` in a fingerprint."""
+    return F.when(half <= HALF, F.shiftrightunsigned(fp, 32)).otherwise(fp.bitwiseAND(F.lit(HALF)))
 
 
 def near(a: Column, b: Column, most: int = 2) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= most
 
 
+def beside(groups: DataFrame) -> DataFrame:
+    """(key, low, high): the distinct halves that differ in one bit, from an equality join of one-wildcard variants.
+
+    A key is a half without one of its bits, with the number of the bit from bit 33 on.
+    Two halves at most have it, so the join is an aggregation that notes which of them are there.
+    """
+    tasks = groups.count() // PER_TASK + 1
+    variants = groups.select("half").repartition(tasks, "half").select("half", F.explode(F.array(*map(F.lit, range(32)))).alias("bit"))
+    seen = variants.selectExpr("(half & ~shiftleft(1L, bit)) | shiftleft(cast(bit as bigint), 33) as key", "cast(1 + (shiftright(half, bit) & 1) as tinyint) as seen")
+    both = seen.groupBy("key").agg(F.bit_or("seen").alias("seen")).filter("seen = 3")
+    low = f"(key & {(1 << 33) - 1})"
+    return both.selectExpr("key", f"{low} as low", f"{low} | shiftleft(1L, cast(shiftright(key, 33) as int)) as high")
+
+
+def crowded(rows: DataFrame, out: int) -> DataFrame:
+    """Links (a, b) within groups of any size, in proportion to it; ``rows``: (group, half, fp).
+
+    The other half is indexed without ``out`` of its bits; four fingerprints at
+    most share such a key, and all of them link.
+    """
+    masks = F.array(*[F.lit(sum(1 << i for i in bits)) for bits in combinations(range(32), out)])
+    each = rows.select("group", "fp", other(F.col("fp"), F.col("half")).alias("other"), F.explode(masks).alias("mask"))
+    keys = each.groupBy("group", "mask", F.col("other").bitwiseAND(F.bitwise_not("mask")).alias("rest")).agg(F.min("fp").alias("a"), F.collect_list("fp").alias("fps"))
+    return keys.filter(F.size("fps") > 1).select("a", F.explode("fps").alias("b"))
+
+
 def links(distinct: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
     """Linked pairs (a, b), a < b, of the distinct fingerprints ``fp``: enough for all components.
 
-    Keys of one fingerprint go at once, keys of two are a pair by their smallest
-    and largest; only fuller keys are joined.
+    A linked pair shares a half, or has halves that differ in one bit and others
+    that differ in one at most. Single fingerprints of two such halves, and pairs
+    that share a half, come from the counts; only fuller groups are joined.
     """
-    tasks = distinct.count() // PER_TASK + 1
-    variants = distinct.repartition(tasks, "fp").select("fp", F.explode(one_out(F.col("fp"))).alias("key"))
-    keys = cut(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1 and (n > 2 or bit_count(a ^ b) <= 2)"))
-    pairs = keys.filter("n = 2").select("a", "b")
-    fuller = keys.filter("n > 2").select("key", "n")
+    members = distinct.select("fp", F.explode(halves(F.col("fp"))).alias("half"))
+    groups = cut(members.groupBy("half").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")))
+    low, high = (groups.select(F.col("half").alias(x), F.col("n").alias(f"n_{x}"), F.col("a").alias(f"a_{x}")) for x in ("low", "high"))
+    met = cut(beside(groups).join(low, "low").join(high, "high"))
+    found = [groups.filter("n = 2").select("a", "b"), met.filter("n_low = 1 and n_high = 1").select(F.col("a_low").alias("a"), F.col("a_high").alias("b"))]
+    fuller, several = groups.filter("n > 2"), met.filter("n_low + n_high > 2")
     if not fuller.isEmpty():
-        members = cut(variants.join(fuller, "key"))
-        paired = members.filter(F.col("n") <= most_paired)
-        a, b = (paired.select("key", F.col("fp").alias(x)) for x in "ab")
-        pairs = pairs.unionByName(a.join(b, "key").filter((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b"))
-        crowded = members.filter(F.col("n") > most_paired).select("fp").distinct()
-        if not crowded.isEmpty():
-            shared = crowded.select("fp", F.explode(two_out(F.col("fp"))).alias("key")).groupBy("key").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("fps"))
-            pairs = pairs.unionByName(shared.select("a", F.explode("fps").alias("b")).filter("a < b"))
-    return pairs.distinct()
+        own = cut(members.join(fuller.select("half", "n"), "half"))
+        a, b = (own.filter(F.col("n") <= most_paired).select("half", F.col("fp").alias(x)) for x in "ab")
+        found.append(a.join(b, "half").filter("a < b").select("a", "b"))
+        found.append(crowded(own.filter(F.col("n") > most_paired).withColumn("group", F.col("half")), 2))
+    if not several.isEmpty():
+        sides = several.select("key", (F.col("n_low") + F.col("n_high")).alias("n"), F.explode(F.array("low", "high")).alias("half"), "low")
+        own = cut(sides.join(members, "half").withColumnRenamed("key", "group"))
+        few = own.filter(F.col("n") <= most_paired)
+        a, b = few.filter("half = low").select("group", F.col("fp").alias("a")), few.filter("half <> low").select("group", F.col("fp").alias("b"))
+        found.append(a.join(b, "group").select("a", "b"))
+        found.append(crowded(own.filter(F.col("n") > most_paired), 1))
+    pairs = reduce(DataFrame.unionByName, found).filter((F.col("a") != F.col("b")) & near(F.col("a"), F.col("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -138,7 +171,7 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", most_paired: int = MOST_PAIRED) -> DataFrame:
-    """One row for each row of ``df``: doc_id, fp, component_id, n_links."""
+    """One row for each row of ``df``: doc_id, fp, component_id."""
     docs = cut(fingerprints(df, text, id_col))
     distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     pairs = cut(links(distinct, most_paired))
