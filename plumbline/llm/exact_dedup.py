@@ -23,22 +23,25 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, lower_ascii, sha256
 
-#: A chunk has from LEAST to MOST characters; the last one may be shorter.
+#: Chunks of more bytes than MOST are cut again; these pieces have from LEAST to MOST characters, the last one may be shorter.
 LEAST, MOST = 64, 8192
-#: In between it ends where seven characters around a blank have odd and even codes in one certain order, as they do
-#: about every 500 characters, or after a full stop of scripts without blanks. So cuts depend on the text beside them
-#: alone, and texts that differ in one place have the same cuts again soon after.
+#: A text is cut behind blanks that have six characters with odd and even codes in one certain order around them, as
+#: one of 64 blanks has. So cuts depend on the text beside them alone, and texts that differ in one place have the same
+#: cuts again soon after. Long chunks, as of scripts without blanks, are cut behind a full stop, or else at MOST.
 ODD, EVEN = ("[" + "".join(rf"\x{c:02x}" for c in range(start, 0x7F, 2)) + "]" for start in (0x21, 0x22))
-CUT = rf"(?:{EVEN}{ODD}{EVEN}[\x20\n](?={ODD}{EVEN}{EVEN}{ODD})|[。！？।۔])"
+CUT = rf"(?<={EVEN}{ODD}{EVEN}\x20)(?={ODD}{EVEN}{ODD})"
 
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
-    """The chunks of a text in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 4}}}?{CUT}|.{{1,{most}}}"), F.lit(0))
+    """The chunks of a text in order; together they are the text. An empty text has none."""
+    further = rf"(?s).{{{least},{most - 1}}}?[。！？।۔]|.{{1,{most}}}"
+    cut = F.transform(F.split(text, CUT), lambda x: F.when(F.octet_length(x) > most, F.regexp_extract_all(x, F.lit(further), F.lit(0))).otherwise(F.array(x)))
+    return F.when(text != "", F.flatten(cut)).otherwise(F.array().cast("array<string>"))
 
 
 def identifier(chunk: Column) -> Column:
-    return F.unhex(F.sha2(chunk.cast("binary"), 256))
+    """Half of a SHA-256; verified() looks for clashes."""
+    return F.unhex(F.substring(F.sha2(chunk.cast("binary"), 256), 1, 32))
 
 
 def verified(df: DataFrame, make=identifier):
