@@ -46,7 +46,8 @@ def identifier(chunk: Column) -> Column:
 
 def verified(df: DataFrame, make=identifier):
     """``make`` if no two distinct chunks of the column ``chunks`` share an identifier, else the chunk's own bytes."""
-    texts = df.select(F.explode("chunks").alias("chunk")).select(make(F.col("chunk")).alias("id"), "chunk").groupBy("id", "chunk").agg(F.lit(1).alias("one"))
+    # an inner explode would have the chunks made twice, once to look for empty arrays
+    texts = df.select(F.explode_outer("chunks").alias("chunk")).filter("chunk is not null").select(make(F.col("chunk")).alias("id"), "chunk").groupBy("id", "chunk").agg(F.lit(1).alias("one"))
     clash = texts.groupBy("id").agg(F.count("one").alias("n")).filter("n > 1")
     return make if clash.isEmpty() else lambda chunk: chunk.cast("binary")
 
