@@ -7,6 +7,11 @@ sum of the logarithms over all its words.
 
 Words are lower-cased at A-Z and mapped to classes: the commonest words of the
 corpus have one each, all others share BUCKETS classes by length and ending.
+The network predicts classes; a word that shares its class has the class's
+probability times its own share of the class. Shares come from the counts of all
+words of the corpus, a table that grows with it and is joined, never gathered.
+One is added to each count and to that of unseen words, so these have a share.
+
 Spark counts words over all documents, then all windows (left, word, right) over
 all documents; these counts are the whole of what the loss needs, and they grow
 with the input. Training is data-parallel in numpy: each partition of the
@@ -20,12 +25,13 @@ get a row and count. An empty corpus gives an untrained model and no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import add_columns, cut, raw, slices
@@ -83,7 +89,26 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str = "text", words: int = WORDS) -> list[bytes]:
     """The commonest words, ties by bytes."""
-    return [bytes(r.word) for r in word_counts(df, text).orderBy(F.desc("n"), "word").limit(words).collect()]
+    return commonest(word_counts(df, text), words)
+
+
+def commonest(counts: DataFrame, words: int = WORDS) -> list[bytes]:
+    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
+
+
+def bucket_of(word: Column) -> Column:
+    """bucket() as a Column."""
+    return (F.lit(WORDS) + F.crc32(F.substring(word, -2, 2)).bitwiseAND(15) + 16 * F.least(F.lit(3), F.floor(F.octet_length(word) / 4))).cast("int")
+
+
+def shares(counts: DataFrame, words: list[bytes]) -> tuple[DataFrame, dict[int, float]]:
+    """(word, log_share) of the words that share a class, and the logarithm of an unseen word's share of each class."""
+    known = counts.sparkSession.createDataFrame([(w,) for w in words], "word binary")
+    rest = counts.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", bucket_of(F.col("word")))
+    totals = {r.bucket: r.total for r in rest.groupBy("bucket").agg((F.sum("n") + F.count("*") + 1).alias("total")).collect()}
+    unseen = {b: -math.log(totals.get(b, 1)) for b in range(WORDS, CLASSES)}
+    least = F.element_at(F.array(*map(F.lit, unseen.values())), F.col("bucket") - (WORDS - 1))
+    return rest.select("word", (F.log(F.col("n") + 1.0) + least).alias("log_share")), unseen
 
 
 def windows(column: pa.Array, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
@@ -253,6 +278,41 @@ def score(df: DataFrame, words: list[bytes], model, text: str = "text", keep: li
     return add_columns(df, text, make, "n_words long, log_likelihood double", keep)
 
 
+def score_words(df: DataFrame, words: list[bytes], model, table: DataFrame, unseen: dict[int, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """As score(), with the probabilities of words themselves: ``table`` and ``unseen`` are those of shares()."""
+
+    def make():
+        known = set(words)
+
+        def work(column):
+            found = [Counter(w for w in x.lower().split() if w not in known) for x in raw(column)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            each = pa.StructArray.from_arrays([pa.array([w for c in found for w in c], pa.binary()), pa.array([n for c in found for n in c.values()], pa.int64())], ["word", "times"])
+            return [pa.ListArray.from_arrays(pa.array(ends), each)]
+
+        return work
+
+    own = list(df.columns if keep is None else keep)
+    done = score(df.withColumn("__row", F.monotonically_increasing_id()), words, model, text, [*dict.fromkeys([*own, text]), "__row"])
+    held = add_columns(done, text, make, "__rest array<struct<word: binary, times: bigint>>")
+    # a first piece has the row itself, under a key of its own so that these pieces spread
+    first = F.struct(F.col("__row").cast("string").cast("binary").alias("word"), F.lit(0).cast("long").alias("times"))
+    kept = [c for c in dict.fromkeys([*own, "n_words", "log_likelihood"])]
+    pieces = held.select("__row", F.struct(*kept).alias("__doc"), F.posexplode(F.concat(F.array(first), "__rest")).alias("__at", "__piece"))
+    pieces = pieces.select("__row", F.when(F.col("__at") == 0, F.col("__doc")).alias("__doc"), F.col("__piece.word").alias("word"), F.col("__piece.times").alias("__times"))
+    least = F.element_at(F.array(*map(F.lit, unseen.values())), bucket_of(F.col("word")) - (WORDS - 1))
+    parts = pieces.join(table, "word", "left").withColumn("__log", F.col("__times") * F.coalesce("log_share", least))
+    rows = parts.groupBy("__row").agg(F.first("__doc", ignorenulls=True).alias("__doc"), F.sum("__log").alias("__log"))
+    return rows.select("__doc.*", "__log").withColumn("log_likelihood", F.col("log_likelihood") + F.col("__log")).drop("__log")
+
+
+def score_corpus(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """score_words() of a model fitted to the same texts."""
+    counts = cut(word_counts(df, text))
+    words = commonest(counts)
+    return score_words(df, words, train(window_counts(df, words, text)), *shares(counts, words), text, keep)
+
+
 def fitted(df: DataFrame, text: str = "text") -> tuple[list[bytes], dict[str, np.ndarray]]:
     """Vocabulary and model of all texts of ``df``."""
     words = vocabulary(df, text)

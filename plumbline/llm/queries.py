@@ -26,7 +26,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    done = lm_score.score(docs, *lm_score.fitted(docs), keep=["doc_id"])
+    done = lm_score.score_corpus(docs, keep=["doc_id"])
     return done.select("doc_id", "n_words", "log_likelihood", F.try_divide("log_likelihood", "n_words").alias("mean_log_likelihood"))
 
 

@@ -66,3 +66,25 @@ def test_empty_corpus_and_odd_rows(docs, odd):
     words, model = lm.fitted(odd)
     rows = lm.score(odd, words, model).collect()
     assert len(rows) == 10 and max(r.n_words for r in rows) == 120_000
+
+
+def test_words_of_a_bucket_have_their_own_probability(docs):
+    common = " ".join(f"c{i} c{i}" for i in range(lm.WORDS))  # these take all classes of their own
+    often, seldom = b"xyzq1", b"abzq1"
+    assert lm.bucket(often) == lm.bucket(seldom)
+    rows = [(i, f"{common} {common}") for i in range(3)] + [(10, "c1 xyzq1 c2"), (11, "c1 abzq1 c2"), (11, "c1 abzq1 c2"), (12, None), (13, "xyzq1 xyzq1 é日"), (14, "a")]
+    df = docs(*rows)
+    counts = lm.word_counts(df)
+    words = lm.commonest(counts)
+    model = lm.fresh()
+    table, unseen = lm.shares(counts, words)
+    n = {bytes(r.word): r.n for r in counts.collect() if bytes(r.word) not in words}
+    total = {b: 1 + sum(k + 1 for w, k in n.items() if lm.bucket(w) == b) for b in unseen}
+    share = lambda w: np.log((n.get(w, 0) + 1) / total[lm.bucket(w)])
+    more = docs(*rows, (15, "c1 unseen1 c2"))
+    plain = lm.score(more, words, model, keep=["doc_id"]).collect()
+    want = sorted((r.doc_id, r.n_words, pytest.approx(r.log_likelihood + sum(share(w) for d, t in {*rows, (15, "c1 unseen1 c2")} if d == r.doc_id for w in (t or "").encode().split() if w not in words), abs=1e-6)) for r in plain)
+    got = sorted((r.doc_id, r.n_words, r.log_likelihood) for r in lm.score_words(more, words, model, table, unseen, keep=["doc_id"]).collect())
+    assert len(got) == len(rows) + 1 and got == want
+    done = {r.doc_id: r.log_likelihood for r in lm.score_corpus(df, keep=["doc_id"]).collect()}
+    assert done[10] > -1e9 and done[11] - done[10] == pytest.approx(share(seldom) - share(often), abs=1e-4)
