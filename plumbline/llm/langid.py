@@ -180,3 +180,20 @@ def identify(df: DataFrame, network: ByteCNN | None, text: str = "text", keep: l
         return work
 
     return add_columns(df, text, make, "`{}` string, `{}` double".format(*names), keep)
+
+
+def least_score(df: DataFrame, network: ByteCNN, text: str = "text", lang: str = "lang", id_col: str = "doc_id", lost: float = 0.001) -> float:
+    """The score that all but ``lost`` of the held-out documents reach whose language is told right; 0 if there are none."""
+    fold = df.filter(held_out(F.col(id_col)) & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    right = identify(fold, network, "text", ["lang"]).filter("lang = lang_pred and score > 0")
+    return right.agg(F.percentile_approx("score", lost, 10_000).alias("least")).first().least or 0.0
+
+
+def recognized(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that have a letter and a score as held-out documents have; any with a letter if nothing can be learned."""
+    network = train(df, text, lang, id_col)
+    if network is None:
+        return df.filter(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
+    least = least_score(df, network, text, lang, id_col)
+    done = identify(df, network, text, names=("__lang", "__score"))
+    return done.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*df.columns)

@@ -54,3 +54,20 @@ def test_odd_rows(odd, docs):
 def test_held_out_rows_are_not_learned(docs):
     out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert langid.sample(docs(*((i, "some words", "en") for i in out)), "text", "lang", "doc_id").count() == 0
+
+
+def test_stage_goes_by_the_score(spark, docs, odd):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(0)
+    noise = ["".join(map(chr, rng.integers(33, 127, n))) for n in rng.integers(200, 3000, 60)]
+    df = table.unionByName(docs(*((-1 - i, x) for i, x in enumerate(noise)), (-100, "!? 123")))
+    stay = {r.doc_id for r in corpus_pipeline.in_a_language(spark, df, "").select("doc_id").collect()}
+    labelled = {r.doc_id for r in table.filter("lang is not null and text rlike '[a-z]'").collect()}
+    print("noise that stays", sum(-61 < d < 0 for d in stay), "labelled", len(labelled), "lost", len(labelled - stay))
+    assert -100 not in stay and len(labelled - stay) <= 0.01 * len(labelled)
+    assert sum(-61 < d < 0 for d in stay) < 30
+    nothing = odd.withColumn("lang", odd.lang.substr(1, 0)).replace("", None, "lang")
+    assert [r.doc_id for r in langid.recognized(nothing).collect()].count(6) == 2
+    assert {r.doc_id for r in langid.recognized(nothing).collect()} == {None, 4, 5, 6, 8}
