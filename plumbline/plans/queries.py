@@ -554,7 +554,7 @@ def synth_cap(spark, sf):
 @query()
 def synth_chain(spark, sf):
     """Clones of clones: no plain SQL folds over declared pairs; tests compare it with a loop."""
-    rows = synthesize.synthesize_chained(few_rows(spark, sf), b.brand_pairs(spark, sf), b.line_registry(spark, sf), 0.55)
+    rows = synthesize.synthesize_chained(b.line_rows(spark, sf), b.brand_pairs(spark, sf), b.line_registry(spark, sf), 0.55)
     return rows.filter("synthesized_from is not null").groupBy("source_id", "entity", "synthesized_from").agg(F.count("*").alias("n"))
 
 

@@ -119,3 +119,11 @@ def test_triage(spark, registry):
     assert (g.source_id, g.name_norm, g["count"], g.example_name, g.sample_fields) == ("s", "what", 2, "What?", ["a=2", "b=1", "c=y"])
     gaps = {(x.entity, x.source_id) for x in triage.coverage_gaps(rows, registry).collect()}
     assert gaps == {("acme/rocket-9", "u"), ("acme/glider", "s"), ("zeta/rocket-9", "s"), ("zeta/rocket-9", "u"), ("zeta/submarine-deluxe", "s"), ("zeta/submarine-deluxe", "u")}
+
+
+def test_synth_chain_reads_all_sources(spark):
+    from plumbline.plans import base, queries
+
+    sf = "/root/testdata/sf0.001"
+    listed = {x.source_id for x in base.line_rows(spark, sf).filter("entity is not null").select("source_id").distinct().collect()}
+    assert len(listed) > 1 and {x.source_id for x in queries.synth_chain(spark, sf).select("source_id").distinct().collect()} == listed
