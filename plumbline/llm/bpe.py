@@ -7,36 +7,41 @@ is applied to all its positions at once, and the pairs that arise beside the
 merged symbols go into the lists of their own ranks. Texts then gather the ids
 of their pre-tokens.
 
-The vocabulary file is read on the driver and broadcast (its size is checked),
-so executors need no copy of it. Null texts count as empty and have no ids.
-Repeated rows are encoded each; other columns pass through; a column named like
-a result is replaced. Any length of text works: a text is never cut, and the
-work grows in proportion to its bytes.
+The vocabulary file is read on the driver and broadcast, a large one sent along
+as a file, so executors need no copy of it. Null texts count as empty and have no
+ids. Of pairs of one rank in a run of one symbol, the first merges. Repeated rows
+are encoded each; other columns pass through; a column named like a result is
+replaced. Any length of text works: a text is never cut, and the work grows in
+proportion to its bytes. Ids to decode that are null or not in the vocabulary
+have no text. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import os
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import add_columns, texts
+from plumbline.llm.common import add_columns, named, texts
 
 #: How the public vocabulary splits text before its merges (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Above this code point the Unicode tables of the two regex engines differ in places.
 SAME_TABLES_BELOW = 0x500
 #: Bytes of text whose pre-tokens share one index, and bytes that leave at a time.
-INDEX_BYTES, PIECE_WORDS = 32_000_000, 500_000
-#: Pre-tokens that a task keeps from slice to slice before it starts anew.
-MOST_WORDS = 600_000
-#: A vocabulary file beyond this isn't broadcast.
+INDEX_BYTES, PIECE_WORDS = 4_000_000, 100_000
+#: Pre-tokens that a task keeps from slice to slice, and their characters, before it starts anew.
+MOST_WORDS, MOST_CHARACTERS = 300_000, 8_000_000
+#: A vocabulary file beyond this goes to executors as a file of the job instead of a broadcast.
 MOST_VOCAB_BYTES = 64_000_000
 
 
@@ -196,18 +201,20 @@ class WordIds:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.characters = 0
         self.counts = self.starts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def words(self, column: list[str]) -> list[array]:
         """Numbers of the pre-tokens of each text; new ones are merged together."""
-        if len(self.number) > MOST_WORDS:
+        if len(self.number) > MOST_WORDS or self.characters > MOST_CHARACTERS:
             self.clear()
         number, known, out = self.number, len(self.number), []
         for text in column:
             words = self.codec.pre_tokens(text)
             for w in set(words).difference(number):
                 number[w] = len(number)
+                self.characters += len(w)
             out.append(array("i", map(number.__getitem__, words)))
         if len(number) > known:
             counts, ids = self.codec.merge(list(number)[known:])
@@ -240,13 +247,16 @@ def codec_of(content: bytes) -> Codec:
     return Codec(content)
 
 
-def shared(df: DataFrame, path: str):
-    """The vocabulary file at ``path``, read on the driver, for all executors."""
+def shared(df: DataFrame, path: str) -> Callable[[], bytes]:
+    """Gives executors the content of the vocabulary file at ``path``, which the driver reads."""
+    sc = df.sparkSession.sparkContext
+    if os.path.getsize(path) > MOST_VOCAB_BYTES:
+        sc.addFile(path)
+        name = os.path.basename(path)
+        return lambda: open(SparkFiles.get(name), "rb").read()  # noqa: SIM115
     with open(path, "rb") as f:
-        content = f.read(MOST_VOCAB_BYTES + 1)
-    if len(content) > MOST_VOCAB_BYTES:
-        raise ValueError(f"{path} is too large to broadcast")
-    return df.sparkSession.sparkContext.broadcast(content)
+        content = sc.broadcast(f.read())
+    return lambda: content.value
 
 
 def lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -258,7 +268,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     content = shared(df, path)
 
     def make():
-        codec = codec_of(content.value)
+        codec = codec_of(content())
         held = WordIds(codec)
 
         def work(column):
@@ -277,17 +287,18 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     from pyspark.sql.types import StructType
 
     content = shared(df, path)
-    own = [c for c in df.columns if c != decoded]
+    own = [c for c in df.columns if c.lower() != decoded.lower()]
     schema = StructType([df.schema[c] for c in own]).add(decoded, "string")
 
     def run(batches):
-        codec = codec_of(content.value)
+        codec = codec_of(content())
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 piece = batch.slice(at, 200)
-                found = [x or [] for x in piece.column(ids).to_pylist()]
+                known = len(codec.lengths)
+                found = [[i for i in x or [] if i is not None and 0 <= i < known] for x in piece.column(ids).to_pylist()]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 flat = np.array([i for x in found for i in x], np.int64)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(codec.decode(flat, bounds), pa.string())], [*own, decoded])
 
-    return df.select(*own).mapInArrow(run, schema)
+    return df.select(*map(named, own)).mapInArrow(run, schema)

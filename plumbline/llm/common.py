@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -12,24 +15,81 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 4_000_000
+#: Beyond so many rows a side isn't broadcast.
+MOST_BROADCAST = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    set only where the session names none, as in tests on one machine.
+    Only on one machine, as in tests, a folder of our own stands in for it.
     """
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a frame to the shared folder and reads it again; at the end all of these go.
+
+    For loops that join: unlike after cut(), Spark knows the size of what it reads, and doesn't multiply
+    its guesses from round to round until the numbers themselves fill the driver.
+    """
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    names = (f"{folder}/{k}" for k in count())
+
+    def written(df: DataFrame) -> DataFrame:
+        name = next(names)
+        df.write.parquet(name)
+        return spark.read.parquet(name)
+
+    try:
+        yield written
+    finally:
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def named(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as make it a name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` if it is counted to be small; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -79,14 +139,14 @@ def add_columns(df: DataFrame, text: str, make, added: str, keep: list[str] | No
     fields = StructType.fromDDL(added)
     own = [c for c in (df.columns if keep is None else keep) if c not in fields.names]
     schema = StructType([df.schema[c] for c in own] + fields.fields)
-    names = [*own, *fields.names]
+    names, held = [*own, *fields.names], free(df, "text")
 
     def run(batches):
         work = make()
-        for part in slices(batches, "__text", most):
-            done = work(part.column("__text"))
+        for part in slices(batches, held, most):
+            done = work(part.column(held))
             for at, n, columns in [(0, part.num_rows, done)] if isinstance(done, list) else done:
                 piece = part.slice(at, n)
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), *columns], names)
 
-    return df.select(*own, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(*map(named, own), named(text).cast("string").alias(held)).mapInArrow(run, schema)

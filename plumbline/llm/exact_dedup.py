@@ -13,7 +13,9 @@ form one group with an empty recipe. Texts of any length are read whole. Of
 equal texts the row with the largest doc_id stays (null ids come before all
 others); of repeated rows with that id, one stays. A hot group never meets in
 one task: sizes are pre-aggregated, and the join that brings them back reads
-two written tables, so that Spark splits its skewed partitions.
+two written tables, so that Spark splits its skewed partitions. An empty table
+gives no rows; columns besides those named are never looked at, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, lower_ascii, sha256
+from plumbline.llm.common import cut, free, lower_ascii, named, sha256
 
 #: Chunks of more bytes than MOST are cut again; these pieces have from LEAST to MOST characters, the last one may be shorter.
 LEAST, MOST = 64, 8192
@@ -54,7 +56,7 @@ def verified(df: DataFrame, make=identifier):
 
 def groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", make=identifier) -> DataFrame:
     """One row for each row of ``df``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    normal = df.select(F.col(id_col).alias("doc_id"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("normal"))
+    normal = df.select(named(id_col).alias("doc_id"), lower_ascii(F.coalesce(named(text), F.lit(""))).alias("normal"))
     make = verified(normal.select(chunks(F.col("normal")).alias("chunks")), make)
     recipes = cut(
         normal.select(
@@ -76,10 +78,16 @@ def groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", make=ident
 
 
 def deduplicated(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    kept = cut(groups(df, text, id_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
-    keyed = df.withColumn("__sha256", sha256(lower_ascii(F.coalesce(F.col(text), F.lit("")))))
-    stay = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha256") == F.col("__sha")), "left_semi")
-    if not df.groupBy(id_col).count().filter("count > 1").isEmpty():  # repeated rows: one of them
-        stay = stay.dropDuplicates([id_col, "__sha256"])
-    return stay.drop("__sha256")
+    """The rows of ``df`` that stay, with all their columns.
+
+    Of rows that share an id and a normalised text, the one that is the greatest as JSON stays.
+    """
+    kept = cut(groups(df, text, id_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")))
+    sha = free(df, "sha256")
+    keyed = df.withColumn(sha, sha256(lower_ascii(F.coalesce(named(text), F.lit("")))))
+    stay = keyed.join(kept, named(id_col).eqNullSafe(F.col("kept_id")) & (F.col(sha) == F.col("kept_sha")), "left_semi")
+    if df.groupBy(named(id_col)).count().filter("count > 1").isEmpty():
+        return stay.drop(sha)
+    whole = F.struct(*map(named, df.columns))
+    one = stay.groupBy(named(id_col).alias("kept_id"), F.col(sha)).agg(F.max_by(whole, F.to_json(whole)).alias("row"))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add_columns, raw
+from plumbline.llm.common import add_columns, free, named, raw, small
 
 #: Bounds of the training sample.
 DOCS, WINDOWS = 300, 3
@@ -193,7 +193,8 @@ def recognized(df: DataFrame, text: str = "text", lang: str = "lang", id_col: st
     """The rows of ``df`` that have a letter and a score as held-out documents have; any with a letter if nothing can be learned."""
     network = train(df, text, lang, id_col)
     if network is None:
-        return df.filter(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
+        return df.filter(F.coalesce(named(text), F.lit("")).rlike(r"\p{L}"))
     least = least_score(df, network, text, lang, id_col)
-    done = identify(df, network, text, names=("__lang", "__score"))
-    return done.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*df.columns)
+    told, score = free(df, "told"), free(df, "score")
+    done = identify(df, network, text, names=(told, score))
+    return done.filter((F.col(told) != UNKNOWN) & (F.col(score) >= least)).select(*map(named, df.columns))

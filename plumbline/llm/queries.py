@@ -40,7 +40,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    done = mixing.mix(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_source_mix": r"""
         WITH t AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                   md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+                   md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o
             FROM documents
         ), s AS (
             SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place
@@ -114,15 +115,34 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, max((total - full_before) / open_weight) OVER () AS level
             FROM r
         ), g AS (
-            SELECT source, source_size, least(weight * level, lim) AS target FROM l
+            SELECT source, place, source_size, least(weight * level, lim) AS target, round(least(weight * level, lim))::BIGINT AS goal FROM l
+        ), k AS (
+            SELECT *, (goal + 1023) // 1024 AS blocks, coalesce(sum((goal + 1023) // 1024) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low,
+                   sum((goal + 1023) // 1024) OVER ()::BIGINT AS n
+            FROM g
+        ), m AS (
+            SELECT max(n) AS n, greatest(1, ceil(log2(max(n))))::INT AS bits FROM k
+        ), c AS (
+            SELECT point, ('0b' || reverse(lpad(bin(point), bits, '0')))::BIGINT AS slot, bits, n
+            FROM m, generate_series(0, (2 ** bits)::BIGINT - 1) AS x(point)
+        ), z AS (
+            SELECT place, blocks, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank
+            FROM c JOIN k ON k.low * (2 ** bits)::BIGINT <= point * c.n AND point * c.n < (k.low + k.blocks) * (2 ** bits)::BIGINT
         ), p AS (
-            SELECT t.*, g.source_size, g.target, round(g.target)::BIGINT AS goal,
+            SELECT t.*, g.place, g.source_size, g.target, g.goal,
                    sum(size) OVER (PARTITION BY t.source ORDER BY (size > 0), o, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
             FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source
+        ), e AS (
+            SELECT p.*, turn, (start + turn * source_size)::BIGINT AS a, least(start + turn * source_size + size, goal)::BIGINT AS b
+            FROM p, (VALUES (0), (1)) AS v(turn)
+        ), h AS (
+            SELECT e.place, start, size, min(slot) AS first_slot
+            FROM e JOIN (SELECT * FROM z WHERE rank < blocks) AS z ON b > a AND e.place = z.place AND rank BETWEEN a // 1024 AND (b - 1) // 1024
+            GROUP BY ALL
         )
-        SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-               (greatest(0, least(start + size, goal) - start) + greatest(0, least(start + source_size + size, goal) - start - source_size))::BIGINT AS taken
-        FROM p
+        SELECT doc_id, p.size::BIGINT AS size, source_size::BIGINT AS source_size, target, coalesce(h.first_slot, -1) AS first_slot,
+               (greatest(0, least(start + p.size, goal) - start) + greatest(0, least(start + source_size + p.size, goal) - start - source_size))::BIGINT AS taken
+        FROM p LEFT JOIN h USING (place, start, size)
     """,
     "op10_url_filter": r"""
         WITH u AS (

@@ -12,15 +12,24 @@ Halves with many fingerprints aren't paired: the other halves of these are
 indexed without two of their bits instead (without one, where the halves differ
 in one). At most four fingerprints share such a key and all of them link, so
 this exact way stays in proportion to their number, and no link is lost. Copies
-of one fingerprint are one row throughout. Components come from alternating large-star and small-star rounds,
-each written to the checkpoint folder; nothing is gathered on the driver but a
-count and a checksum of the links.
+of one fingerprint are one row throughout. Components come from alternating
+large-star and small-star rounds until nothing changes, each written to the
+checkpoint folder; nothing is gathered on the driver but a count and a checksum
+of the links. Joins on a node read two written tables, so that Spark splits the
+partition of a node that many link to. Halves have 32 bits: they select well up
+to some 10^10 distinct fingerprints.
+
+Fingerprints of two differing bits find texts that are all but equal. For a
+similarity of word shingles, ``minhash`` takes these links first and completes
+them.
 
 Null and empty texts and texts without words have fingerprint zero, linked like
 any other. A component is named by its smallest doc_id; null ids are passed
 over, and a component of null ids has a null name. Repeated rows each get a
-row; rows that share a doc_id are one document and share its component. An
-empty table gives no rows.
+row; rows that share a doc_id are one document and share its component. Ties of a
+bit, half the hashes with it set, leave it unset. A text of any length is read
+whole, a slice of the batch of its own. An empty table gives no rows. Other
+columns are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add_columns, cut, raw
+from plumbline.llm.common import add_columns, cut, free, named, raw, tables
 
 #: Words of a shingle, seed of its hash.
 WORDS, SEED = 3, 42
@@ -73,7 +82,7 @@ def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", word
 
         return work
 
-    return add_columns(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", make, "fp long", ["doc_id"])
+    return add_columns(df.select(named(id_col).alias("doc_id"), named(text).alias("text")), "text", make, "fp long", ["doc_id"])
 
 
 def halves(fp: Column) -> Column:
@@ -145,29 +154,34 @@ def links(distinct: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b); the root is the smallest node that is reachable."""
-
-    def star(edges: DataFrame) -> DataFrame:
-        """Edges from each node's neighbours to the smallest of them and itself."""
-        least = edges.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-        return edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"), F.col("a").alias("via"))
-
-    edges, before = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()), None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both).filter("a > via and a > b").select("a", "b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
-        edges = cut(small.filter("a > b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components didn't settle")
-    roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with tables(pairs.sparkSession) as written:
+
+        def star(edges: DataFrame) -> DataFrame:
+            """Edges from each node's neighbours to the smallest of them and itself."""
+            least = written(edges.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")))
+            return edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"), F.col("a").alias("via"))
+
+        edges, before = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()), None
+        while True:  # each round but the last makes trees flatter
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            large = written(star(both).filter("a > via and a > b").select("a", "b").distinct())
+            least = written(large.groupBy("a").agg(F.min("b").alias("least")))
+            small = large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
+            edges = written(small.filter("a > b").distinct())
+            now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if now == before:
+                break
+            before = now
+        roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+        return cut(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id isn't one of ``gone`` (doc_id); rows with a null id stay."""
+    drop = free(df, "drop")
+    return df.join(cut(gone.select(F.col("doc_id").alias(drop)).distinct()), named(id_col) == F.col(drop), "left_anti")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", most_paired: int = MOST_PAIRED) -> DataFrame:
@@ -176,16 +190,16 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", m
     distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     pairs = cut(links(distinct, most_paired))
     if pairs.isEmpty():
-        named = distinct.select("fp", F.col("least").alias("component_id"))
+        called = distinct.select("fp", F.col("least").alias("component_id"))
     else:
-        roots = cut(components(pairs))
+        roots = components(pairs)
         labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-        names = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = labelled.join(names, "root").select("fp", "component_id")
-    return docs.join(cut(named), "fp").select("doc_id", "fp", "component_id")
+        labelled = cut(labelled)
+        names = cut(labelled.groupBy("root").agg(F.min("least").alias("component_id")))
+        called = labelled.join(names, "root").select("fp", "component_id")
+    return docs.join(cut(called), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` whose document gives its component the name; rows with a null id stay."""
-    drop = near_duplicates(df, text, id_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return df.join(cut(drop), F.col(id_col) == F.col("__drop"), "left_anti")
+    return without(df, id_col, near_duplicates(df, text, id_col).filter("doc_id <> component_id"))

@@ -32,19 +32,44 @@ def test_targets_against_sharing_again(spark, sizes):
 
 
 def test_points_are_van_der_corputs(spark):
-    got = [r.p for r in spark.range(9).select(mixing.van_der_corput(F.col("id")).alias("p")).collect()]
-    assert got == [0, 0.5, 0.25, 0.75, 0.125, 0.625, 0.375, 0.875, 0.0625]
+    got = [r.p for r in spark.range(9).select(mixing.reversed_digits(F.col("id"), 4).alias("p")).collect()]
+    assert [p / 16 for p in got] == [0, 0.5, 0.25, 0.75, 0.125, 0.625, 0.375, 0.875, 0.0625]
 
 
 def test_schedule_is_even_at_every_point(spark):
-    goals = [(0.0, 600.0, 600), (600.0, 300.0, 300), (900.0, 100.0, 100)]
-    rows = mixing.schedule(spark, goals, 1, n_piece=50).orderBy("slot").collect()
-    seen = [0, 0, 0]
+    blocks = [600, 300, 99, 1]
+    rows = mixing.schedule(spark.createDataFrame(list(enumerate(blocks, 1)), "at int, blocks long")).orderBy("slot").collect()
+    seen = [0] * 4
     for i, r in enumerate(rows[:900]):
-        assert r.rank == seen[r.at]
-        seen[r.at] += 1
-        assert all(abs(seen[k] - (i + 1) * t / 1000) < 2 + math.log2(i + 2) for k, (_, t, _) in enumerate(goals))
-    assert [sum(r.at == k for r in rows) for k in range(3)] == [600, 300, 100]
+        assert r.rank == seen[r.at - 1]
+        seen[r.at - 1] += 1
+        assert all(abs(seen[k] - (i + 1) * n / 1000) < 2 + math.log2(i + 2) for k, n in enumerate(blocks))
+    assert [sum(r.at == k for r in rows) for k in range(1, 5)] == blocks and rows[-1].slot < 1024
+    assert mixing.schedule(spark.createDataFrame([(1, 0)], "at int, blocks long")).count() == 0
+    assert [tuple(r) for r in mixing.schedule(spark.createDataFrame([(1, 1)], "at int, blocks long")).collect()] == [(0, 1, 0)]
+
+
+def test_small_sources_cost_no_more_slots(spark):
+    n = mixing.schedule(spark.createDataFrame([(1, 5_000), (2, 1), *((k, 1) for k in range(3, 60))], "at int, blocks long"))
+    got = n.groupBy("at").count().collect()
+    assert {r["at"]: r["count"] for r in got} == {1: 5_000, **dict.fromkeys(range(2, 60), 1)}
+
+
+def test_mixed_comes_near_its_targets_in_order(spark, docs):
+    rows = [(k, " ".join(["w"] * (1 + k % 50)), "en", "abc"[k % 3]) for k in range(600)]
+    df = docs(*rows, (600, "one", "en", "tiny"))
+    target = {r.source: r.target for r in mixing.mix(df).collect()}
+    got = mixing.mixed(df).collect()
+    taken, most = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+        most[r.doc_id] = most.get(r.doc_id, 0) + 1
+    assert set(target) == {"a", "b", "c", "tiny"} and all(abs(taken[s] - t) <= 50 for s, t in target.items() if s != "tiny")
+    assert max(most.values()) <= 2
+    # sources stand in their proportions all along
+    slots = {r.doc_id: r.first_slot for r in mixing.mix(df).collect() if r.taken}
+    first = [slots[k] for k in dict.fromkeys(r.doc_id for r in got if r.doc_id in slots and most[r.doc_id] == 1)]
+    assert len(set(first)) > 5
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
