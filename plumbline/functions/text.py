@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.values import once
+
 # What must be the same wherever names are matched.
 #: Vendors that stand before a colon.
 COLON_VENDORS = ("openai", "anthropic", "google", "moonshotai", "z.ai")
@@ -23,23 +25,21 @@ VENDORS = {
 }
 # End of the fixed values.
 
-#: Endings beyond this many are not looked for; each takes a word off.
-MOST_SUFFIXES = 12
+#: A numbered character reference.
+NUMBERED = "&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 
 
 def html_unescape(s: Column) -> Column:
     """Named references and decimal or hexadecimal ones to ASCII characters; ``&amp;`` last, so nothing is unescaped twice."""
     for name, char in ENTITIES:
         s = F.replace(s, F.lit(f"&{name};"), F.lit(char))
-    numbered = F.regexp_extract_all(s, F.lit("&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1))
-
     def put(text: Column, ref: Column) -> Column:
         hexed = F.lower(F.substring(ref, 1, 1)) == "x"
         code = F.when(hexed, F.conv(F.substring(ref, 2, 8), 16, 10)).otherwise(ref).cast("int")
         char = F.when((code > 0) & (code < 128), F.char(code.cast("long"))).otherwise(" ")
         return F.replace(text, F.concat(F.lit("&#"), ref, F.lit(";")), char)
 
-    s = F.when(s.contains("&#"), F.aggregate(F.array_distinct(numbered), s, put)).otherwise(s)
+    s = once(s, lambda t: F.when(t.contains("&#"), F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(NUMBERED), F.lit(1))), t, put)).otherwise(t))
     return F.replace(s, F.lit("&amp;"), F.lit("&"))
 
 
@@ -76,14 +76,17 @@ def strip_suffix(normal: Column) -> Column:
     return F.when(~normal.isin(*SUFFIXES) & (rest != ""), rest)
 
 
-def stripped_forms(normal: Column, most: int = MOST_SUFFIXES) -> Column:
-    """The name without one ending, two, and so on, as an array."""
+def stripped_forms(normal: Column) -> Column:
+    """The name without one ending, two, and so on, as an array. Each takes a word off, so there are no more than words."""
+
+    def all_of(name: Column) -> Column:
+        def further(forms: Column, _: Column) -> Column:
+            last = F.coalesce(F.try_element_at(forms, F.lit(-1)), name)
+            return once(strip_suffix(last), lambda one: F.when(one.isNotNull(), F.concat(forms, F.array(one))).otherwise(forms))
 
-    def further(forms: Column, _: Column) -> Column:
-        one = strip_suffix(F.coalesce(F.try_element_at(forms, F.lit(-1)), normal))
-        return F.when(one.isNotNull(), F.concat(forms, F.array(one))).otherwise(forms)
+        return F.aggregate(F.split(name, " "), F.array().cast("array<string>"), further)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array().cast("array<string>"), further)
+    return F.coalesce(once(normal, all_of), F.array().cast("array<string>"))
 
 
 def contains_phrase(normal: Column, phrase: str) -> Column:

@@ -14,6 +14,11 @@ PROMPT_PART, COMPLETION_PART = 0.75, 0.25
 HIGH, MIDDLE, LEAST_CHANGE = 70.0, 50.0, 0.05
 
 
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated a single time, however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def finite(x: Column) -> Column:
     """``x``, NULL unless it is a finite number."""
     return F.when(F.abs(x) < INFINITY, x)

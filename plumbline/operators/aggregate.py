@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.values import clamp, finite, smoothstep
+from plumbline.functions.values import clamp, finite, once, smoothstep
 
 #: What stands for a score that nothing is known about, and below what a weight is none.
 NEUTRAL, TINY = 50.0, 1e-12
@@ -58,10 +58,19 @@ def missing_safe_avg(columns: dict[str, Column], weights: dict[str, float], pref
     weight = total(F.when(x[k].isNotNull(), weights[k]).otherwise(0.0) for k in keys)
     summed = total(F.coalesce(F.lit(weights[k]) * x[k], F.lit(0.0)) for k in keys)
     none = F.abs(weight) < TINY
-    mean, coverage = summed / F.when(none, 1.0).otherwise(weight), weight / F.lit(whole)
-    pulled = mean * coverage + F.lit(NEUTRAL) * (F.lit(1.0) - coverage)
     start = band.threshold - band.width / 2
-    u = smoothstep(clamp((coverage - F.lit(start)) / F.lit(band.width), 0.0, 1.0)) if band.width > TINY else F.when(coverage >= band.threshold, 1.0).otherwise(0.0)
-    value = F.when(none, NEUTRAL).otherwise(clamp(pulled * (F.lit(1.0) - u) + mean * u, 0.0, 100.0))
+
+    def of(known: Column) -> Column:
+        mean, coverage = known["mean"], known["coverage"]
+        pulled = mean * coverage + F.lit(NEUTRAL) * (F.lit(1.0) - coverage)
+        part = once(clamp((coverage - F.lit(start)) / F.lit(band.width), 0.0, 1.0), smoothstep) if band.width > TINY else F.when(coverage >= band.threshold, 1.0).otherwise(0.0)
+        return F.when(known["weight"] < TINY, NEUTRAL).otherwise(once(part, lambda u: clamp(pulled * (F.lit(1.0) - u) + mean * u, 0.0, 100.0)))
+
+    parts = once(F.struct(weight.alias("weight"), summed.alias("summed")), lambda p: F.struct(
+        F.abs(p["weight"]).alias("weight"),
+        (p["summed"] / F.when(F.abs(p["weight"]) < TINY, 1.0).otherwise(p["weight"])).alias("mean"),
+        (p["weight"] / F.lit(whole)).alias("coverage"),
+    ))
+    coverage, value = weight / F.lit(whole), once(parts, of)
     gaps = F.filter(F.array(*[F.when(x[k].isNull(), prefix + k) for k in keys]), lambda k: k.isNotNull())
     return Mean(value, none | (coverage < F.lit(band.cutoff)), gaps)

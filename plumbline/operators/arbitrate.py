@@ -19,7 +19,7 @@ OVERRIDES = "overrides"
 
 def eligible_cells(rows: DataFrame, registry: DataFrame, exceptions: list[dict] = ()) -> DataFrame:
     """(entity, metric, raw, source_id, seq, effort, is_synth): numeric fields of matched rows that may score."""
-    vendors = F.broadcast(registry.select("entity", "vendor"))
+    vendors = registry.select("entity", "vendor")
     x = rows.filter("entity is not null").withColumn("effort", row_effort(F.col("model_name"), F.col("fields"))).join(vendors, "entity")
     synth = F.col("synthesized_from").isNotNull()
     allowed = F.when(synth, may_score(F.col("effort"), F.col("source_id"), F.col("entity"), F.col("vendor"))).otherwise(may_score(F.col("effort"), F.col("source_id"), F.col("entity"), F.col("vendor"), list(exceptions)))

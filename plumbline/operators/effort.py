@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import contains_phrase, normalize_name
+from plumbline.functions.values import once
 
 #: Classes in their order of preference (fixed values).
 PREFERENCE = ("default", "medium", "thinking", "non_reasoning", "low", "high", "max", "other")
@@ -49,7 +50,7 @@ def row_text(name: Column, fields: Column) -> Column:
 
 
 def row_effort(name: Column, fields: Column) -> Column:
-    return effort_class(normalize_name(row_text(name, fields)))
+    return once(normalize_name(row_text(name, fields)), effort_class)
 
 
 def may_score(effort: Column, source_id: Column, entity: Column, vendor: Column, exceptions: list[dict] = ()) -> Column:

@@ -6,19 +6,16 @@ distinct first, so that a name is matched once however many rows bear it.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import alphanumeric, compact_key, normalize_name, stripped_forms
+from plumbline.operators.cuts import cut
 
 #: Of matching by containment: score of equality, of the vendor, and the least score (fixed values).
 EQUAL, VENDOR, LEAST = 100, 20, 12
 #: Letters of the pieces by which contained keys find each other.
 GRAM = 4
-#: A registry of more keys isn't broadcast.
-MOST_BROADCAST = 200_000
 
 
 def registry_keys(registry: DataFrame) -> DataFrame:
@@ -52,52 +49,42 @@ def exact(names: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def grams(key: Column, size: int = GRAM) -> Column:
-    """All pieces of ``size`` letters of a key; a shorter key is a piece itself."""
+    """All pieces of ``size`` letters of a key; none of a shorter one."""
     n = F.length(key) - size + 1
-    return F.when(n < 1, F.array(key)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(key, i, F.lit(size)))))
+    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(key, i, F.lit(size)))))
+
+
+def pieces(key: Column, inside: str, around: str) -> Column:
+    """(way, piece): the first letters of a key, by which it is found inside others, and all runs of up to GRAM letters, by which it is found around others."""
+    way = lambda name, pieces: F.transform(pieces, lambda p: F.struct(F.lit(name).alias("way"), p.alias("piece")))
+    return F.concat(way(inside, F.array(F.substring(key, 1, GRAM))), *[way(around, grams(key, size)) for size in range(1, GRAM + 1)])
 
 
 def fuzzy(names: DataFrame, keys: DataFrame) -> DataFrame:
     """(name, hint, entity, score) of names one of whose keys contains the other.
 
-    Of keys that contain each other the shorter one's first piece is among the
-    pieces of the longer, so candidates come from an equality join on pieces;
-    very short keys, whose piece isn't whole, meet by their length.
+    Of keys that contain each other the first letters of the shorter one are
+    among the pieces of the longer, so candidates come from one equality join on
+    pieces: whichever is the shorter, and however short.
     """
     own = names.withColumn("compact", compact_key(F.col("name"))).filter("compact <> ''").withColumn("hint_norm", normalize_name(F.coalesce("hint", F.lit(""))))
     listed = keys.filter("compact <> ''").select("entity", "ord", "key_ord", F.col("compact").alias("alias"), normalize_name(F.coalesce("vendor", F.lit(""))).alias("vendor_norm")).dropDuplicates(["entity", "alias"])
-    head = lambda c: F.substring(c, 1, GRAM)
-    whole = lambda c: F.length(c) >= GRAM
-    inside = listed.filter(whole(F.col("alias"))).withColumn("piece", head(F.col("alias"))).join(own.withColumn("piece", F.explode(grams(F.col("compact")))), "piece")
-    around = listed.withColumn("piece", F.explode(grams(F.col("alias")))).join(own.filter(whole(F.col("compact"))).withColumn("piece", head(F.col("compact"))), "piece")
-    short = short_pairs(own, listed)
-    columns = ["name", "hint", "compact", "hint_norm", "entity", "ord", "key_ord", "alias", "vendor_norm"]
-    met = reduce(DataFrame.unionByName, [x.select(*columns) for x in (inside, around, short)]).distinct()
-    contained = F.col("alias").contains(F.col("compact")) | F.col("compact").contains(F.col("alias"))
+    left = own.select("*", F.inline(pieces(F.col("compact"), "name in alias", "alias in name")))
+    right = listed.select("*", F.inline(pieces(F.col("alias"), "alias in name", "name in alias")))
+    contained = F.when(F.col("way") == "name in alias", F.col("alias").contains(F.col("compact"))).otherwise(F.col("compact").contains(F.col("alias")))
     bonus = F.when((F.col("hint_norm") != "") & (F.col("hint_norm") == F.col("vendor_norm")), VENDOR).otherwise(0)
     score = F.when(F.col("alias") == F.col("compact"), EQUAL).otherwise(F.least(F.length("alias"), F.length("compact"))) + bonus
     need = F.greatest(F.lit(LEAST), F.floor(F.length("compact") / 2).cast("int"))
-    scored = met.filter(contained).withColumn("score", score).filter(F.col("score") >= need)
+    scored = left.join(right, ["way", "piece"]).filter(contained).withColumn("score", score).filter(F.col("score") >= need)
     best = scored.groupBy("name", "hint").agg(F.min_by(F.struct("entity", "score"), F.struct((-F.col("score")).alias("s"), "ord", "key_ord")).alias("b"))
     return best.select("name", "hint", "b.entity", "b.score")
 
 
-def short_pairs(own: DataFrame, listed: DataFrame) -> DataFrame:
-    """Pairs in which one key has fewer than GRAM letters: they meet by each run of that many letters of the other."""
-    out = None
-    for size in range(1, GRAM):
-        a = listed.filter(F.length("alias") == size).withColumn("piece", F.col("alias")).join(own.withColumn("piece", F.explode(grams(F.col("compact"), size))), "piece")
-        b = own.filter(F.length("compact") == size).withColumn("piece", F.col("compact")).join(listed.withColumn("piece", F.explode(grams(F.col("alias"), size))), "piece")
-        both = a.unionByName(b.select(*a.columns))
-        out = both if out is None else out.unionByName(both)
-    return out
-
-
 def resolve(rows: DataFrame, registry: DataFrame, name: str = "model_name", hint: str = "vendor_hint") -> DataFrame:
     """Add ``entity`` to rows: NULL where no entity matches."""
-    keys = registry_keys(registry)
-    names = rows.select(F.col(name).alias("name"), F.col(hint).alias("hint")).distinct()
-    found = exact(names, alias_index(keys))
+    keys = cut(registry_keys(registry))
+    names = cut(rows.select(F.col(name).alias("name"), F.col(hint).alias("hint")).distinct())
+    found = cut(exact(names, alias_index(keys)))
     same = lambda a, b: a["name"].eqNullSafe(b["name"]) & a["hint"].eqNullSafe(b["hint"])
     rest = names.join(found, same(names, found), "left_anti")
     every = found.unionByName(fuzzy(rest, keys).drop("score")).select(F.col("name").alias("__name"), F.col("hint").alias("__hint"), "entity")

@@ -1,8 +1,8 @@
 """Raw values of many metrics to scores of 0 to 100, relative to each metric's population.
 
 Cells are long: one row for each (entity, metric), with ``raw``, ``is_synth``
-and ``is_override``. One aggregation with exact percentiles gives the
-statistics of all metrics; they return to the cells by a join on the metric.
+and ``is_override``. Exact percentiles come from places in each metric's order,
+range by range; they return to the cells by a join on the metric.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import clamp, finite
+from plumbline.operators.cuts import cut
+from plumbline.operators.rank import placed
 
 # The curves.
 TINY = 1e-12
@@ -59,27 +61,39 @@ def mapped(x: Column, log_scale: Column) -> Column:
     return F.when(log_scale & (x > 0), F.ln(F.when(x > 0, x))).when(~log_scale, x)
 
 
+def order_statistics(values: DataFrame, key: str, value: str, points: tuple[float, ...]) -> DataFrame:
+    """(key, p, least, most, n): exact percentiles of the values of each key, between neighbours in proportion.
+
+    Values get their places range by range, and only those at wanted places are
+    gathered, so no key's values meet in one task or one buffer.
+    """
+    x = placed(values, key, value, [], down=False)
+    at = [F.lit(q) * (F.col("total") - 1) for q in points]
+    low = [F.max(F.when(F.col("place") == F.floor(p) + 1, F.col(value))) for p in at]
+    high = [F.max(F.when(F.col("place") == F.ceil(p) + 1, F.col(value))) for p in at]
+    ends = x.groupBy(key).agg(*[c.alias(f"low{i}") for i, c in enumerate(low)], *[c.alias(f"high{i}") for i, c in enumerate(high)], F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+
+    def point(i: int, q: float) -> Column:
+        p, lo, hi = F.lit(q) * (F.col("n") - 1), F.col(f"low{i}"), F.col(f"high{i}")
+        return F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi)
+
+    return ends.select(key, F.array(*[point(i, q) for i, q in enumerate(points)]).alias("p"), "least", "most", "n")
+
+
 def population(cells: DataFrame, defs: DataFrame) -> DataFrame:
     """(metric, p2, p5, p95, p98, least, most, n): one row for each metric.
 
     Direct cells are the population where there are LEAST_DIRECT of them; that
     is settled before values without a logarithm are left out.
     """
-    x = cells.join(F.broadcast(defs), "metric").withColumn("x", mapped(F.col("raw"), F.col("log_scale")))
     direct = ~F.col("is_synth") & ~F.col("is_override")
-    points = F.array(*[F.lit(q) for q in (TAIL[0], LINEAR[0], LINEAR[1], TAIL[1])])
-
-    def stats(value: Column) -> Column:
-        return F.struct(F.percentile(value, points).alias("p"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
-
-    both = x.groupBy("metric").agg(
-        F.count_if(direct & finite(F.col("raw")).isNotNull()).alias("n_direct"),
-        stats(F.when(direct, F.col("x"))).alias("d"),
-        stats(F.col("x")).alias("a"),
-    )
-    own = both.select("metric", F.when(F.col("n_direct") >= LEAST_DIRECT, F.col("d")).otherwise(F.col("a")).alias("s"))
-    p = F.col("s.p")
-    return own.select("metric", p[0].alias("p2"), p[1].alias("p5"), p[2].alias("p95"), p[3].alias("p98"), "s.least", "s.most", "s.n")
+    x = cut(cells.join(F.broadcast(defs), "metric").select("metric", mapped(F.col("raw"), F.col("log_scale")).alias("x"), direct.alias("direct"), finite(F.col("raw")).isNotNull().alias("known")))
+    counts = x.groupBy("metric").agg((F.count_if(F.col("direct") & F.col("known")) >= LEAST_DIRECT).alias("only_direct"))
+    own = x.join(counts, "metric").filter((F.col("direct") | ~F.col("only_direct")) & F.col("x").isNotNull()).select("metric", "x")
+    p = F.col("p")
+    stats = order_statistics(own, "metric", "x", (TAIL[0], LINEAR[0], LINEAR[1], TAIL[1]))
+    every = counts.select("metric").join(stats, "metric", "left")
+    return every.select("metric", p[0].alias("p2"), p[1].alias("p5"), p[2].alias("p95"), p[3].alias("p98"), "least", "most", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def normalize(cells: DataFrame, defs: DataFrame, synthesis: float = 0.15, override: float = 0.10) -> DataFrame:

@@ -6,12 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import change
+from plumbline.operators.cuts import cut
+
+#: Ranges of the values of a key that are numbered apart.
+RANGES = 64
+
+
+def placed(df: DataFrame, key: str, value: str, ties: list[str], down: bool = True) -> DataFrame:
+    """Add place, from 1 on, and total, for each key.
+
+    No key is in one task: its values are cut into RANGES of about as many rows
+    at approximate quantiles, ranges are counted, and rows are numbered within
+    each range behind those of the ranges before. Equal values share a range.
+    """
+    rows = cut(df)
+    points = [k / RANGES for k in range(1, RANGES)]
+    bounds = rows.groupBy(F.col(key).alias("__key")).agg(F.percentile_approx(value, points, 1000).alias("__bounds"))
+    x = F.col(value)
+    ahead = F.size(F.filter("__bounds", lambda b: b > x if down else b < x))
+    last = RANGES if down else -1  # of values that are missing, as Spark orders them
+    ranged = rows.join(bounds, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__range", F.when(x.isNull() | F.col("__bounds").isNull(), last).otherwise(ahead)).drop("__bounds", "__key")
+    counts = ranged.groupBy(F.col(key).alias("__key"), F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))
+    by_key = Window.partitionBy("__key")
+    before = F.sum("__n").over(by_key.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__key", "__of", F.coalesce(before, F.lit(0)).alias("__start"), F.sum("__n").over(by_key).alias("total"))
+    within = Window.partitionBy(key, "__range").orderBy(x.desc() if down else x.asc(), *ties)
+    numbered = ranged.withColumn("place", F.row_number().over(within).cast("long"))
+    back = numbered.join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
+    return back.withColumn("place", F.col("place") + F.col("__start")).drop("__key", "__of", "__start", "__range")
 
 
 def rank_for(long: DataFrame, key: str = "metric", value: str = "score", entity: str = "entity") -> DataFrame:
     """Add place (1 is best, ties by entity) and total, for each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(value), entity)
-    return long.withColumn("place", F.row_number().over(w).cast("long")).withColumn("total", F.count("*").over(Window.partitionBy(key)))
+    return placed(long, key, value, [entity])
 
 
 def unpivot(df: DataFrame, columns: list[str], key: str = "role", value: str = "score", entity: str = "entity") -> DataFrame:
@@ -20,7 +47,8 @@ def unpivot(df: DataFrame, columns: list[str], key: str = "role", value: str = "
 
 def leaders(df: DataFrame, columns: list[str], k: int = 3, entity: str = "entity") -> DataFrame:
     """The best ``k`` of each column, with their places."""
-    return rank_for(unpivot(df, columns, entity=entity), "role", entity=entity).filter(F.col("place") <= k).drop("total")
+    best = Window.partitionBy("role").orderBy(F.desc("score"), entity)  # Spark keeps the best k of each task before it shuffles
+    return unpivot(df, columns, entity=entity).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).withColumn("place", F.col("place").cast("long"))
 
 
 def top(df: DataFrame, by: Column, k: int, *ties: str) -> DataFrame:

@@ -92,13 +92,10 @@ def average_sql(weights: dict[str, float], threshold: float = 0.70, width: float
 
 
 def parts_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands and part names as vendors and entities; the order is that of the ids."""
-    from pyspark.sql import Window
-
+    """Brands and part names as vendors and entities, in the order of their names."""
     p = table(spark, sf_dir, "part").select(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("vendor"), "p_name").distinct()
     e = p.withColumn("display", F.replace("p_name", F.lit(" "), F.lit("-"))).withColumn("entity", F.concat_ws("/", "vendor", "display"))
-    few = e.select("entity", "vendor", "display", F.array(F.concat_ws(" ", "vendor", "p_name")).alias("aliases"))
-    return few.withColumn("ord", F.row_number().over(Window.orderBy("entity")))
+    return e.select("entity", "vendor", "display", F.array(F.concat_ws(" ", "vendor", "p_name")).alias("aliases"), F.col("entity").alias("ord"))
 
 
 REGISTRY_SQL = """g AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
@@ -12,6 +12,7 @@ from plumbline.functions import values as v
 from plumbline.operators import arbitrate as arb
 from plumbline.operators import history, match, rank, score, synthesize, triage
 from plumbline.operators.aggregate import Band
+from plumbline.operators.cuts import cut
 from plumbline.operators.effort import effort_class
 from plumbline.operators.normalize import as_score, normalize, population
 from plumbline.plans import base as b
@@ -457,7 +458,7 @@ def alias_fuzzy(spark, sf):
 
 
 def matched_parts(spark, sf):
-    return match.resolve(b.part_rows(spark, sf), b.parts_registry(spark, sf))
+    return cut(match.resolve(b.part_rows(spark, sf), b.parts_registry(spark, sf)))
 
 
 @query(f"{MATCHED_SQL} SELECT source_id, seq, entity FROM mr")
@@ -524,31 +525,25 @@ def stale_overrides(spark, sf):
     return arb.stale_overrides(b.line_rows(spark, sf), overrides="R").select("entity", "metric", joined(F.col("others")).alias("others"))
 
 
-LINES_OF_PAIRS = f"{L}, {b.PAIRS_SQL}, u AS (SELECT *, entity AS donor FROM l WHERE entity IS NOT NULL AND source_id = 'A' AND effort = 0)"
+LINES_OF_PAIRS = f"{L}, {b.PAIRS_SQL}, u AS (SELECT *, entity AS donor FROM l WHERE entity IS NOT NULL)"
+SYNTH = """, z AS (SELECT source_id, count(*) AS n_rows FROM l GROUP BY source_id), em AS (SELECT DISTINCT source_id, pair_idx FROM u JOIN q USING (donor)),
+    ru AS (SELECT source_id, pair_idx, row_number() OVER (PARTITION BY source_id ORDER BY pair_idx) - 1 AS before FROM em),
+    ok AS (SELECT source_id, pair_idx FROM ru JOIN z USING (source_id) WHERE before = 0 OR before / (n_rows + before)::DOUBLE <= {cap}e0)"""
 
 
-def few_rows(spark, sf):
-    """Rows of one source and no effort marker: the whole of what its pairs clone."""
-    return b.line_rows(spark, sf).filter("source_id = 'A' and fields['note'] in ('1-URGENT', '4-NOT SPECIFIED')")
-
-
-SYNTH = """, z AS (SELECT count(*) AS n_rows FROM l WHERE source_id = 'A' AND effort = 0), em AS (SELECT DISTINCT pair_idx FROM u JOIN q USING (donor)),
-    ru AS (SELECT pair_idx, row_number() OVER (ORDER BY pair_idx) - 1 AS before FROM em), ok AS (SELECT pair_idx FROM ru, z WHERE before = 0 OR before / (n_rows + before)::DOUBLE <= {cap}e0)"""
-
-
-@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.02)} SELECT q.target AS entity, upper(q.target) AS model_name, u.entity AS synthesized_from, u.seq, u.qty FROM u JOIN q USING (donor) JOIN ok USING (pair_idx)")
+@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.02)} SELECT source_id, q.target AS entity, upper(q.target) AS model_name, u.entity AS synthesized_from, u.seq, u.qty FROM u JOIN q USING (donor) JOIN ok USING (source_id, pair_idx)")
 def synth_rows(spark, sf):
-    given = synthesize.donations(few_rows(spark, sf), b.brand_pairs(spark, sf), b.line_registry(spark, sf))
-    rows = few_rows(spark, sf)
+    rows = cut(b.line_rows(spark, sf))
+    given = synthesize.donations(rows, b.brand_pairs(spark, sf), b.line_registry(spark, sf))
     kept = synthesize.kept_pairs(given.select("source_id", "pair_idx").distinct(), rows.groupBy("source_id").agg(F.count("*").alias("n_rows")), 0.02)
-    return synthesize.cloned(given.join(kept, ["source_id", "pair_idx"])).select("entity", "model_name", "synthesized_from", "seq", F.col("fields")["qty"].cast("double").alias("qty"))
+    return synthesize.cloned(given.join(kept, ["source_id", "pair_idx"])).select("source_id", "entity", "model_name", "synthesized_from", "seq", F.col("fields")["qty"].cast("double").alias("qty"))
 
 
-@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.01)} SELECT pair_idx FROM ok")
+@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.01)} SELECT source_id, pair_idx FROM ok")
 def synth_cap(spark, sf):
-    rows = few_rows(spark, sf)
+    rows = cut(b.line_rows(spark, sf))
     given = synthesize.donations(rows, b.brand_pairs(spark, sf), b.line_registry(spark, sf))
-    return synthesize.kept_pairs(given.select("source_id", "pair_idx").distinct(), rows.groupBy("source_id").agg(F.count("*").alias("n_rows")), 0.01).select("pair_idx")
+    return synthesize.kept_pairs(given.select("source_id", "pair_idx").distinct(), rows.groupBy("source_id").agg(F.count("*").alias("n_rows")), 0.01).select("source_id", "pair_idx")
 
 
 @query()
@@ -558,19 +553,16 @@ def synth_chain(spark, sf):
     return rows.filter("synthesized_from is not null").groupBy("source_id", "entity", "synthesized_from").agg(F.count("*").alias("n"))
 
 
-@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.55)}, cl AS (SELECT q.target AS entity, q.donor FROM u JOIN q USING (donor) JOIN ok USING (pair_idx)) SELECT target, donor FROM q WHERE (target, donor) NOT IN (SELECT entity, donor FROM cl)")
+@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.55)}, cl AS (SELECT q.target AS entity, q.donor FROM u JOIN q USING (donor) JOIN ok USING (source_id, pair_idx)) SELECT target, donor FROM q WHERE (target, donor) NOT IN (SELECT entity, donor FROM cl)")
 def stale_pairs(spark, sf):
     pairs, registry = b.brand_pairs(spark, sf), b.line_registry(spark, sf)
-    every = synthesize.synthesize(few_rows(spark, sf), pairs, registry, 0.55).filter("synthesized_from is not null").select("entity", F.col("synthesized_from").alias("donor"))
+    every = synthesize.synthesize(cut(b.line_rows(spark, sf)), pairs, registry, 0.55).filter("synthesized_from is not null").select("entity", F.col("synthesized_from").alias("donor"))
     return synthesize.stale_pairs(pairs, every, registry)
 
 
-CLONES = "(SELECT DISTINCT q.target FROM u JOIN q USING (donor) {ok})"
-
-
-@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.002)} SELECT target AS entity, 'A' AS source_id FROM {CLONES.format(ok='')} WHERE target NOT IN {CLONES.format(ok='JOIN ok USING (pair_idx)')} AND target NOT IN (SELECT entity FROM u)")
+@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.002)} SELECT DISTINCT target AS entity, source_id FROM u JOIN q USING (donor) WHERE (target, source_id) NOT IN (SELECT q.target, u.source_id FROM u JOIN q USING (donor) JOIN ok USING (source_id, pair_idx)) AND (target, source_id) NOT IN (SELECT entity, source_id FROM u)")
 def cap_blocked(spark, sf):
-    rows, pairs, registry = few_rows(spark, sf), b.brand_pairs(spark, sf), b.line_registry(spark, sf)
+    rows, pairs, registry = cut(b.line_rows(spark, sf)), b.brand_pairs(spark, sf), b.line_registry(spark, sf)
     return synthesize.cap_blocked(synthesize.synthesize(rows, pairs, registry, 0.002), synthesize.synthesize(rows, pairs, registry, 1.0))
 
 
@@ -650,10 +642,10 @@ def json_number_coerce(spark, sf):
     return table(spark, sf, "events").select("event_id", v.json_number(text).alias("x"))
 
 
-@query("WITH x AS (SELECT user_id, list(DISTINCT event_type) AS s FROM events WHERE event_id % 50 = 0 GROUP BY user_id) SELECT user_id, list_contains(s, 'click') OR list_contains(s, 'purchase') AS buys, len(s) AS n FROM x")
+@query("WITH x AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(DISTINCT event_type) AS s FROM events GROUP BY ALL) SELECT user_id, day, list_contains(s, 'click') OR list_contains(s, 'purchase') AS buys, len(s) AS n FROM x")
 def array_flags(spark, sf):
-    x = table(spark, sf, "events").filter("event_id % 50 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
-    return x.select("user_id", F.arrays_overlap("s", F.array(F.lit("click"), F.lit("purchase"))).alias("buys"), F.size("s").cast("long").alias("n"))
+    x = table(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("event_type").alias("s"))
+    return x.select("user_id", "day", F.arrays_overlap("s", F.array(F.lit("click"), F.lit("purchase"))).alias("buys"), F.size("s").cast("long").alias("n"))
 
 
 @query(f"SELECT p_partkey, {micro_sql('x')} AS cost FROM (SELECT p_partkey, 0.75e0 * (p_retailprice - 900) + 0.25e0 * p_size AS x FROM (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 900 - p_size ELSE p_retailprice END AS p_retailprice, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS p_size FROM part)) WHERE x > 0")
@@ -682,7 +674,8 @@ def source_pruning(spark, sf):
 @query("SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_acctbal > 0 THEN s_acctbal ELSE 0 END, s_suppkey) - 1 AS seq FROM supplier")
 def stable_sort_seq(spark, sf):
     order = F.coalesce(v.positive(F.col("s_acctbal")), F.lit(0.0))
-    return table(spark, sf, "supplier").select("s_suppkey", (F.row_number().over(Window.orderBy(order, "s_suppkey")) - 1).cast("long").alias("seq"))
+    one = table(spark, sf, "supplier").select(F.lit("all").alias("key"), order.alias("by"), "s_suppkey")
+    return rank.placed(one, "key", "by", ["s_suppkey"], down=False).select("s_suppkey", (F.col("place") - 1).alias("seq"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n, sum(k)::BIGINT AS k FROM (SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import arbitrate as a
 from plumbline.operators import score as s
+from plumbline.operators.cuts import cut
 from plumbline.operators.match import resolve
 from plumbline.operators.normalize import normalize
 from plumbline.operators.synthesize import synthesize_chained
@@ -29,13 +30,14 @@ class Run:
 def score_cells(cells: DataFrame, config: Config, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Normalized cells, and one row for each entity: metrics, composites, perspectives, groups, roles."""
     defs = config.defs(cells.sparkSession)
-    scores = normalize(cells, defs, config.penalties.get("synthesis", 0.15), config.penalties.get("override", 0.10))
+    scores = cut(normalize(cells, defs, config.penalties.get("synthesis", 0.15), config.penalties.get("override", 0.10)))
     table = s.wide(scores, sorted({*config.inputs(), HEALTH}))
     synth = scores.filter(F.col("metric") == HEALTH).select("entity", F.col("is_synth").alias("__health_synth"))
     df = registry.select("entity", "ord", "vendor", "display", "aliases").join(table, "entity", "left").join(synth, "entity", "left")
-    df = s.add_level(df, config.composites, config.band, missing=True)
-    df = s.add_level(df, config.perspectives | config.groups, config.band, shrunk=True, missing=True)
-    df = s.add_level(df, config.roles, config.band, missing=True)
+    # a level reads what the one before has made many times over: it is written, or the plan would repeat it each time
+    df = s.add_level(cut(df), config.composites, config.band, missing=True)
+    df = s.add_level(cut(df), config.perspectives | config.groups, config.band, shrunk=True, missing=True)
+    df = cut(s.add_level(cut(df), config.roles, config.band, missing=True))
     p = config.penalties
     penalty = s.health_penalty(F.col(HEALTH), F.col("__health_synth"), p.get("deadband", 60.0), p.get("floor", 20.0), p.get("most", 6.0))
     df = df.withColumn("penalty", penalty).withColumns({r: s.penalized(F.col(r), F.col("penalty")) for r in config.roles})
@@ -45,9 +47,9 @@ def score_cells(cells: DataFrame, config: Config, registry: DataFrame) -> tuple[
 
 
 def run(rows: DataFrame, registry: DataFrame, pairs: DataFrame, config: Config) -> Run:
-    matched = resolve(rows, registry)
-    every = synthesize_chained(matched, pairs, registry, config.per_source_cap)
-    cells = a.arbitrate(a.eligible_cells(every, registry, config.exceptions))
+    matched = cut(resolve(rows, registry))
+    every = cut(synthesize_chained(matched, pairs, registry, config.per_source_cap))
+    cells = cut(a.arbitrate(a.eligible_cells(every, registry, config.exceptions)))
     scores, entities = score_cells(cells, config, registry)
     sources = a.sources_of(every)
     dominant = a.synthesis_dominant(cells, config.per_model_cap).select("entity", F.col("dominant").alias("synthesis_dominant"))
