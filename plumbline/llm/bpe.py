@@ -284,21 +284,23 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded``, the text of the id list in ``ids``; null and empty lists give an empty text."""
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     content = shared(df, path)
     own = [c for c in df.columns if c.lower() != decoded.lower()]
-    schema = StructType([df.schema[c] for c in own]).add(decoded, "string")
+    passed = [f"c{i}" for i in range(len(own))]
+    schema = StructType([StructField(p, df.schema[c].dataType, True) for p, c in zip(passed, own, strict=True)]).add("text", "string")
 
     def run(batches):
         codec = codec_of(content())
+        known = len(codec.lengths)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 piece = batch.slice(at, 200)
-                known = len(codec.lengths)
-                found = [[i for i in x or [] if i is not None and 0 <= i < known] for x in piece.column(ids).to_pylist()]
+                found = [[i for i in x or [] if i is not None and 0 <= i < known] for x in piece.column("ids").to_pylist()]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 flat = np.array([i for x in found for i in x], np.int64)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(codec.decode(flat, bounds), pa.string())], [*own, decoded])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in passed), pa.array(codec.decode(flat, bounds), pa.string())], schema.names)
 
-    return df.select(*map(named, own)).mapInArrow(run, schema)
+    given = [named(c).alias(p) for p, c in zip(passed, own, strict=True)]
+    return df.select(*given, named(ids).alias("ids")).mapInArrow(run, schema).toDF(*own, decoded)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.cuts import cut, shared_folder  # noqa: F401
+
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 4_000_000
 #: Beyond so many rows a side isn't broadcast.
@@ -23,28 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Only on one machine, as in tests, a folder of our own stands in for it.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not conf.get("spark.master", "").split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="checkpoint")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 @contextmanager
 def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Gives a function that writes a frame to the shared folder and reads it again; at the end all of these go.
@@ -134,19 +113,21 @@ def add_columns(df: DataFrame, text: str, make, added: str, keep: list[str] | No
     ``df`` outside ``keep`` (None: all) go; one named like an added column is
     replaced by it.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     fields = StructType.fromDDL(added)
     own = [c for c in (df.columns if keep is None else keep) if c not in fields.names]
-    schema = StructType([df.schema[c] for c in own] + fields.fields)
-    names, held = [*own, *fields.names], free(df, "text")
+    # within the task columns go by number: their names may be any
+    passed = [f"c{i}" for i in range(len(own))]
+    schema = StructType([StructField(p, df.schema[c].dataType, True) for p, c in zip(passed, own, strict=True)] + fields.fields)
 
     def run(batches):
         work = make()
-        for part in slices(batches, held, most):
-            done = work(part.column(held))
+        for part in slices(batches, "text", most):
+            done = work(part.column("text"))
             for at, n, columns in [(0, part.num_rows, done)] if isinstance(done, list) else done:
                 piece = part.slice(at, n)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), *columns], names)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in passed), *columns], schema.names)
 
-    return df.select(*map(named, own), named(text).cast("string").alias(held)).mapInArrow(run, schema)
+    given = [named(c).alias(p) for p, c in zip(passed, own, strict=True)]
+    return df.select(*given, named(text).cast("string").alias("text")).mapInArrow(run, schema).toDF(*own, *fields.names)

@@ -3,15 +3,19 @@
 Bytes are embedded; filters of several widths run over a window of fixed
 length, the largest value of each over the window is kept, and a softmax layer
 turns these into languages. The network is trained in numpy on the driver, on a
-bounded sample of labelled rows: at most DOCS documents a language, the first in
-the order of a hash of their doc_id, and WINDOWS windows of each. Every text is
-then cut into windows from start to end; they go through the network in
+bounded sample of labelled rows: at most DOCS documents of each of the LANGUAGES
+commonest languages, the first in the order of a hash of their doc_id among those
+of up to LONGEST bytes, with all windows of their whole texts. Every text is then
+cut into windows from start to end; they go through the network in
 batches, and a document's probabilities are the mean over its windows, weighted
 by their bytes.
 
 Null texts and texts without a letter are ``und`` with score 0. Without any
 labelled row everything is ``und``. Repeated rows each get a row; a null doc_id
-counts as the text "" when rows are held out. The network sees text alone.
+counts as the text "" when rows are held out. Of languages of equal probability
+the first by code point is told. Very long texts are read whole, window by window.
+An empty table gives no rows; other columns pass through, but for ones named like
+the results. The network sees text alone.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add_columns, free, named, raw, small
+from plumbline.llm.common import add_columns, free, named, raw
 
-#: Bounds of the training sample.
-DOCS, WINDOWS = 300, 3
+#: Bounds of the training sample: documents of a language, languages, bytes of a document.
+DOCS, LANGUAGES, LONGEST = 150, 200, 32_768
 #: Shape of the network.
 LENGTH, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 #: Training.
@@ -121,37 +125,28 @@ class ByteCNN:
         return self
 
 
-def sample(df: DataFrame, text: str, lang: str, id_col: str, docs: int = DOCS, most: int = WINDOWS) -> DataFrame:
-    """(lang, window): at most ``docs`` labelled documents of each language that aren't held out, ``most`` windows of each."""
+def sample(df: DataFrame, text: str, lang: str, id_col: str, docs: int = DOCS, languages: int = LANGUAGES, longest: int = LONGEST) -> DataFrame:
+    """(lang, doc_id, text): at most ``docs`` labelled documents that aren't held out of each of the ``languages`` commonest, whole."""
+    fit = F.octet_length("text") <= longest
+    rows = df.select(named(lang).cast("string").alias("lang"), named(text).cast("string").alias("text"), named(id_col).alias("doc_id")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & fit)
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id_col))).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("order"))
-    named = rows.select("lang", "doc_id", "order").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs)
+    chosen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("order")).join(F.broadcast(chosen), "lang")
+    keyed = keys.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= docs).select("lang", "doc_id").distinct()
     # the texts are read again for the few chosen documents alone
-    chosen = rows.join(F.broadcast(named.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
-
-    def make():
-        def work(column):
-            out = []
-            for x in raw(column):
-                cut = windows(x)
-                keep = np.unique(np.linspace(0, len(cut) - 1, most).round().astype(int))
-                out.append([x[i * LENGTH : (i + 1) * LENGTH] for i in keep])
-            return [pa.array(out, pa.list_(pa.binary()))]
-
-        return work
-
-    return add_columns(chosen, "text", make, "windows array<binary>", ["lang", "doc_id"])
+    return rows.join(F.broadcast(keyed), ["lang", "doc_id"], "left_semi")
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs: int = DOCS, most: int = WINDOWS) -> ByteCNN | None:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs: int = DOCS) -> ByteCNN | None:
     """A network fitted on the bounded sample; None if there is no labelled row."""
-    got = sample(df, text, lang, id_col, docs, most).select("lang", "doc_id", F.explode("windows").alias("window")).distinct().collect()
+    got = sample(df, text, lang, id_col, docs).distinct().collect()
     if not got:
         return None
-    got.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.window)))
+    got.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.text))
     languages = sorted({r.lang for r in got})
-    rows = np.concatenate([windows(bytes(r.window)) for r in got])
-    return ByteCNN(languages).fit(rows, np.array([languages.index(r.lang) for r in got]))
+    cuts = [windows(r.text.encode()) for r in got]
+    labels = np.repeat([languages.index(r.lang) for r in got], [len(c) for c in cuts])
+    return ByteCNN(languages).fit(np.concatenate(cuts), labels)
 
 
 def identify(df: DataFrame, network: ByteCNN | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -184,7 +179,7 @@ def identify(df: DataFrame, network: ByteCNN | None, text: str = "text", keep: l
 
 def least_score(df: DataFrame, network: ByteCNN, text: str = "text", lang: str = "lang", id_col: str = "doc_id", lost: float = 0.001) -> float:
     """The score that all but ``lost`` of the held-out documents reach whose language is told right; 0 if there are none."""
-    fold = df.filter(held_out(F.col(id_col)) & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    fold = df.filter(held_out(named(id_col)) & named(lang).isNotNull()).select(named(lang).alias("lang"), named(text).alias("text"))
     right = identify(fold, network, "text", ["lang"]).filter("lang = lang_pred and score > 0")
     return right.agg(F.percentile_approx("score", lost, 10_000).alias("least")).first().least or 0.0
 

@@ -19,8 +19,10 @@ contexts fits its own copy, the copies are averaged by their windows in Spark,
 and the next round goes on from the average; only the model, whose size is
 fixed, reaches the driver.
 
-Null and empty texts have no words, a sum of 0 and no mean. Repeated rows each
-get a row and count. An empty corpus gives an untrained model and no rows.
+Null and empty texts have no words, a sum of 0 and no mean. Very long texts are
+scored whole. Repeated rows each get a row and count; ties among the commonest
+words are broken by their bytes. An empty corpus gives an untrained model and no
+rows. Other columns pass through, but for ones named like the results.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import add_columns, cut, raw, slices
+from plumbline.llm.common import add_columns, cut, named, raw, slices
 
 #: Words with a class of their own, classes of the rest, size of the hidden layer.
 WORDS, BUCKETS, DIM = 448, 64, 32
@@ -84,7 +88,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield out()
 
-    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return df.select(named(text).cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(df: DataFrame, text: str = "text", words: int = WORDS) -> list[bytes]:
@@ -111,16 +115,27 @@ def shares(counts: DataFrame, words: list[bytes]) -> tuple[DataFrame, dict[int,
     return rest.select("word", (F.log(F.col("n") + 1.0) + least).alias("log_share")), unseen
 
 
-def windows(column: pa.Array, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (left, right, word) of every word of some texts in a row, and the number of words of each text."""
-    found = [x.lower().split() for x in raw(column)]
+def numbered(found: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the number among these of every word in a row, and how many words each text has."""
+    words = list(set().union(*found))
+    number = dict(zip(words, range(len(words)), strict=True))
     n = np.array([len(x) for x in found], np.int64)
-    c = np.fromiter((classes[w] for x in found for w in x), np.int64, int(n.sum()))
+    return words, np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum())), n
+
+
+def packed(c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Packed (left, right, word) of every word, from the classes of words in a row and the number of words of each text."""
     ends = np.cumsum(n)
     left, right = np.concatenate([[EDGE], c[:-1]]) if len(c) else c, np.concatenate([c[1:], [EDGE]]) if len(c) else c
     left[(ends - n)[n > 0]] = EDGE
     right[(ends - 1)[n > 0]] = EDGE
-    return (left * (CLASSES + 1) + right) * CLASSES + c, n
+    return (left * (CLASSES + 1) + right) * CLASSES + c
+
+
+def windows(column: pa.Array, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Packed windows of every word of some texts in a row, and the number of words of each text."""
+    words, at, n = numbered([x.lower().split() for x in raw(column)])
+    return packed(np.fromiter(map(classes.__getitem__, words), np.int64, len(words))[at], n), n
 
 
 def window_counts(df: DataFrame, words: list[bytes], text: str = "text") -> DataFrame:
@@ -141,7 +156,7 @@ def window_counts(df: DataFrame, words: list[bytes], text: str = "text") -> Data
         if len(keys):
             yield out()
 
-    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+    return df.select(named(text).cast("string").alias("text")).mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
 
 
 SHAPES = {"left": (CLASSES + 1, DIM), "right": (CLASSES + 1, DIM), "bias": (DIM,), "out": (DIM, CLASSES), "out_bias": (CLASSES,)}
@@ -278,32 +293,45 @@ def score(df: DataFrame, words: list[bytes], model, text: str = "text", keep: li
     return add_columns(df, text, make, "n_words long, log_likelihood double", keep)
 
 
-def score_words(df: DataFrame, words: list[bytes], model, table: DataFrame, unseen: dict[int, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """As score(), with the probabilities of words themselves: ``table`` and ``unseen`` are those of shares()."""
+def pieces(df: DataFrame, words: list[bytes], model, text: str, keep: list[str]) -> DataFrame:
+    """What a document's score is summed of: (row, word, times, n_words, log_likelihood, doc).
 
-    def make():
-        known = set(words)
+    One piece of a row has its ``doc``, the kept columns, the score of its
+    classes and a key of its own in ``word``, so that these pieces spread; the
+    others have a word that shares its class, and how often it stands there.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((words, model, normalizers(model)))
+    kept = df.select(*map(named, keep))
+    schema = T.StructType().add("row", "long").add("word", "binary").add("times", "long").add("n_words", "long").add("log_likelihood", "double").add("doc", kept.schema)
 
-        def work(column):
-            found = [Counter(w for w in x.lower().split() if w not in known) for x in raw(column)]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            each = pa.StructArray.from_arrays([pa.array([w for c in found for w in c], pa.binary()), pa.array([n for c in found for n in c.values()], pa.int64())], ["word", "times"])
-            return [pa.ListArray.from_arrays(pa.array(ends), each)]
+    def run(batches):
+        known, net, sums = shared.value
+        classes, own = Classes({w: i for i, w in enumerate(known)}), set(known)
+        for part in slices(batches, "text"):
+            each, at, n = numbered([x.lower().split() for x in raw(part.column("text"))])
+            keys, where = np.unique(packed(np.fromiter(map(classes.__getitem__, each), np.int64, len(each))[at], n), return_inverse=True)
+            total = np.concatenate([[0.0], np.cumsum(log_probabilities(net, sums, keys).astype(np.float64)[where])])
+            ends, rows, doc = np.cumsum(n), part.column("row"), part.column("doc")
+            first = [rows, pa.array([b"%d" % r for r in rows.to_pylist()], pa.binary()), pa.array(np.zeros(len(n), np.int64)), pa.array(n), pa.array(total[ends] - total[ends - n]), doc]
+            yield pa.RecordBatch.from_arrays(first, schema.names)
+            shares = np.fromiter((w not in own for w in each), bool, len(each))
+            held = shares[at]
+            found, times = np.unique(np.repeat(np.arange(len(n)), n)[held] * max(1, len(each)) + at[held], return_counts=True)
+            there, m = found // max(1, len(each)), len(found)
+            rest = [rows.take(pa.array(there)), pa.array(each, pa.binary()).take(pa.array(found % max(1, len(each)))), pa.array(times), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, doc.type)]
+            yield pa.RecordBatch.from_arrays(rest, schema.names)
+
+    rows = df.select(F.monotonically_increasing_id().alias("row"), named(text).cast("string").alias("text"), F.struct(*map(named, keep)).alias("doc"))
+    return rows.mapInArrow(run, schema)
 
-        return work
 
-    own = list(df.columns if keep is None else keep)
-    done = score(df.withColumn("__row", F.monotonically_increasing_id()), words, model, text, [*dict.fromkeys([*own, text]), "__row"])
-    held = add_columns(done, text, make, "__rest array<struct<word: binary, times: bigint>>")
-    # a first piece has the row itself, under a key of its own so that these pieces spread
-    first = F.struct(F.col("__row").cast("string").cast("binary").alias("word"), F.lit(0).cast("long").alias("times"))
-    kept = [c for c in dict.fromkeys([*own, "n_words", "log_likelihood"])]
-    pieces = held.select("__row", F.struct(*kept).alias("__doc"), F.posexplode(F.concat(F.array(first), "__rest")).alias("__at", "__piece"))
-    pieces = pieces.select("__row", F.when(F.col("__at") == 0, F.col("__doc")).alias("__doc"), F.col("__piece.word").alias("word"), F.col("__piece.times").alias("__times"))
+def score_words(df: DataFrame, words: list[bytes], model, table: DataFrame, unseen: dict[int, float], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """As score(), with the probabilities of words themselves: ``table`` and ``unseen`` are those of shares()."""
+    own = [c for c in (df.columns if keep is None else keep) if c not in ("n_words", "log_likelihood")]
     least = F.element_at(F.array(*map(F.lit, unseen.values())), bucket_of(F.col("word")) - (WORDS - 1))
-    parts = pieces.join(table, "word", "left").withColumn("__log", F.col("__times") * F.coalesce("log_share", least))
-    rows = parts.groupBy("__row").agg(F.first("__doc", ignorenulls=True).alias("__doc"), F.sum("__log").alias("__log"))
-    return rows.select("__doc.*", "__log").withColumn("log_likelihood", F.col("log_likelihood") + F.col("__log")).drop("__log")
+    parts = pieces(df, words, model, text, own).join(table, "word", "left").withColumn("log", F.col("times") * F.coalesce("log_share", least))
+    rows = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.max("log_likelihood").alias("classes"), F.sum("log").alias("log"), F.first("doc", ignorenulls=True).alias("doc"))
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in own], "n_words", (F.col("classes") + F.col("log")).alias("log_likelihood"))
 
 
 def score_corpus(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:

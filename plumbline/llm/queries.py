@@ -144,6 +144,39 @@ ORACLE_SQL: dict[str, str] = {
                (greatest(0, least(start + p.size, goal) - start) + greatest(0, least(start + source_size + p.size, goal) - start - source_size))::BIGINT AS taken
         FROM p LEFT JOIN h USING (place, start, size)
     """,
+    "op9_quality_rules": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), l AS (
+            SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
+        ), v AS (
+            SELECT id, i, array_to_string(w[i:i + 7], ' ') AS words FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) > 7)
+        ), d AS (
+            SELECT id, count(DISTINCT i + k) AS n_repeat_words
+            FROM (SELECT id, i, count(*) OVER (PARTITION BY id, words) AS n FROM v), range(8) AS x(k) WHERE n > 1 GROUP BY id
+        ), f AS (
+            SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+            FROM t LEFT JOIN l USING (id) LEFT JOIN d USING (id)
+        ), j AS (
+            SELECT *, unnest(['short', 'repeated', 'symbols', 'lines']) AS rule,
+                   unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 10 * n_symbols > 3 * n_words, n_dup_lines > 0.3e0 * n_lines]) AS hit
+            FROM f
+        ), h AS (
+            SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE hit) AS bad FROM j GROUP BY ALL
+        ), m AS (
+            SELECT rule, count(*) AS hosts, sum(n) AS docs, sum(bad) / sum(n)::DOUBLE AS mean, sum(bad * bad / n::DOUBLE) / sum(n) AS square FROM h GROUP BY rule
+        ), p AS (
+            SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(square - mean * mean - mean * (1 - mean) * hosts / greatest(docs, 1), 1e-6) - 1, 1.0e0), 1e6) AS size FROM m
+        ), g AS (
+            SELECT source, max((bad + mean * size) / (n + size)) > 0.5e0 AS host_failed FROM h JOIN p USING (rule) GROUP BY source
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT host_failed AS kept
+        FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.source
+    """,
     "op10_url_filter": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
