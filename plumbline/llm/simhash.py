@@ -13,11 +13,11 @@ indexed without two of their bits instead (without one, where the halves differ
 in one). At most four fingerprints share such a key and all of them link, so
 this exact way stays in proportion to their number, and no link is lost. Copies
 of one fingerprint are one row throughout. Components come from alternating
-large-star and small-star rounds until nothing changes, each written to the
-checkpoint folder; nothing is gathered on the driver but a count and a checksum
-of the links. Joins on a node read two written tables, so that Spark splits the
-partition of a node that many link to. Halves have 32 bits: they select well up
-to some 10^10 distinct fingerprints.
+large-star and small-star rounds until all trees are flat, each written to the
+shared folder; nothing is gathered on the driver but a count of the links. Joins
+on a node read two written tables, so that Spark splits the partition of a node
+that many link to. Halves have 32 bits: they select well up to some 10^10
+distinct fingerprints.
 
 Fingerprints of two differing bits find texts that are all but equal. For a
 similarity of word shingles, ``minhash`` takes these links first and completes
@@ -51,6 +51,8 @@ WORDS, SEED = 3, 42
 MOST_PAIRED = 256
 #: Halves whose variants a task makes, about.
 PER_TASK = 20_000
+#: Links of a task in the rounds for components, about.
+EDGES_PER_TASK = 500_000
 #: The bits of a half.
 HALF = 0xFFFFFFFF
 
@@ -154,28 +156,31 @@ def links(distinct: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def flat(edges: DataFrame) -> bool:
+    """Whether each node of the edges (a, b) has one ``b``, which is no ``a`` itself."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b); the root is the smallest node that is reachable."""
     with tables(pairs.sparkSession) as written:
+        edges = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+        tasks = edges.count() // EDGES_PER_TASK + 1  # rounds don't add edges, and most make far fewer
 
         def star(edges: DataFrame) -> DataFrame:
             """Edges from each node's neighbours to the smallest of them and itself."""
-            least = written(edges.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")))
+            least = written(edges.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least")).coalesce(tasks))
             return edges.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"), F.col("a").alias("via"))
 
-        edges, before = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()), None
-        while True:  # each round but the last makes trees flatter
+        while not flat(edges):
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            large = written(star(both).filter("a > via and a > b").select("a", "b").distinct())
-            least = written(large.groupBy("a").agg(F.min("b").alias("least")))
+            large = written(star(both).filter("a > via and a > b").select("a", "b").distinct().coalesce(tasks))
+            least = written(large.groupBy("a").agg(F.min("b").alias("least")).coalesce(tasks))
             small = large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
-            edges = written(small.filter("a > b").distinct())
-            now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-            if now == before:
-                break
-            before = now
-        roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-        return cut(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+            edges = written(small.filter("a > b").distinct().coalesce(tasks))
+        return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
 
 
 def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
