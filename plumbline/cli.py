@@ -1,4 +1,4 @@
-"""Command line: score, triage, verify-sources, list-models, all.
+"""Command line: fetch, score, render, triage, verify-sources, list-models, all.
 
     python -m plumbline.cli all --cache cache --aliases aliases.toml --out out
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import sys
+import tomllib
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,14 +18,15 @@ from plumbline.operators import arbitrate, rank, synthesize
 from plumbline.operators import triage as tri
 from plumbline.operators.match import resolve
 from plumbline.plans import config as c
-from plumbline.plans.scoreboard import run
+from plumbline.plans.scoreboard import Run, run
 from plumbline.sinks import tables, toml
+from plumbline.sources import fetch
 from plumbline.sources import registry as reg
 
 
 def arguments(argv: list[str] | None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="plumbline")
-    p.add_argument("command", nargs="?", default="all", choices=["all", "score", "render", "triage", "verify-sources", "list-models"])
+    p.add_argument("command", nargs="?", default="all", choices=["all", "fetch", "score", "render", "triage", "verify-sources", "list-models"])
     p.add_argument("--out", default="out")
     p.add_argument("--cache", default="cache")
     p.add_argument("--aliases", required=True, help="TOML of entities: models.<id> with vendor and aliases")
@@ -36,6 +38,10 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--now", help="RFC 3339 time of the report")
     p.add_argument("--min-count", type=int, default=1)
     p.add_argument("--offline", action="store_true")
+    p.add_argument("--addresses", help="TOML of where sources are fetched: <source>.urls, and <source>.header for its secret")
+    p.add_argument("--aa-api-key-file")
+    p.add_argument("--openrouter-api-key-file")
+    p.add_argument("--hf-token-file")
     return p.parse_args(argv)
 
 
@@ -54,7 +60,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     out = Path(a.out)
     out.mkdir(parents=True, exist_ok=True)
     sources = reg.chosen(a.only.split(","))
-    rows, states = reg.read(spark, a.cache, sources, a.offline or a.command == "score", read(a.overrides))
+    files = {"ARTIFICIAL_ANALYSIS_API_KEY": a.aa_api_key_file, "OPENROUTER_API_KEY": a.openrouter_api_key_file, "HF_TOKEN": a.hf_token_file}
+    secrets = {k: x for k, f in files.items() if (x := reg.secret(k, f))}
+    if a.command in ("fetch", "all") and not a.offline and a.addresses:
+        where = tomllib.loads(read(a.addresses))
+        for s in sources:
+            at = where.get(s.id, {})
+            key = secrets.get(s.secret) if s.secret else None
+            if s.secret and not key and not s.fresh(a.cache):
+                print(f"{s.id}\tskipped")
+                continue
+            print(f"{s.id}\t{fetch.refresh(s, a.cache, at.get('urls', []), {at['header']: key} if key and 'header' in at else {})}")
+    if a.command == "fetch":
+        return 0
+    if a.command == "render":
+        done, states = tables.read(spark, str(out / "tables"))
+        return report(spark, done, states, config, a, out, stamp)
+    rows, states = reg.read(spark, a.cache, sources, a.offline or a.command == "score", read(a.overrides), secrets)
     pairs = c.pairs(spark, read(a.pairs) or "")
     if a.command == "verify-sources":
         counts = {r.source_id: r["count"] for r in rows.groupBy("source_id").count().collect()}
@@ -69,15 +91,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         near = tri.siblings(gaps, capped.filter("entity is not null"), registry)
         (out / "triage.toml").write_text(toml.triage(tri.unmatched_groups(matched, a.min_count), gaps, near, synthesize.cap_blocked(capped, free), stamp))
         return 0
-    done = run(rows, registry, pairs, config)
-    tables.write(done, str(out / "tables"))
-    (out / "scoreboard.toml").write_text(toml.scoreboard(done, config, stamp, states))
-    (out / "missing.toml").write_text(toml.missing(done, stamp))
+    tables.write(run(rows, registry, pairs, config), str(out / "tables"), states)
+    done, states = tables.read(spark, str(out / "tables"))
     (out / "coefficients.toml").write_text(read(a.coefficients) or c.default_text())
     for r in arbitrate.stale_overrides(done.rows).collect():
         print(f"override of {r.entity} {r.metric} is also measured by {', '.join(r.others)}", file=sys.stderr)
+    return report(spark, done, states, config, a, out, stamp)
+
+
+def report(spark: SparkSession, done: Run, states: dict[str, str], config: c.Config, a: argparse.Namespace, out: Path, stamp: str) -> int:
+    """The reports of a stored run, and its leaderboard with the changes since an earlier one."""
+    (out / "scoreboard.toml").write_text(toml.scoreboard(done, config, stamp, states))
+    (out / "missing.toml").write_text(toml.missing(done, stamp))
     before = tables.earlier(spark, a.prev) if a.prev else None
-    roles = [r for r in config.roles]
+    roles = list(config.roles)
     rank.deltas(done.entities.select("entity", *roles), before.select("entity", *roles) if before is not None else None, roles).join(
         rank.rank_for(rank.unpivot(done.entities.select("entity", *roles), roles), "role").select("entity", "role", "place", F.col("total")), ["entity", "role"]
     ).write.mode("overwrite").parquet(str(out / "tables/leaderboard"))

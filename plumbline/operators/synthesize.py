@@ -48,6 +48,14 @@ def synthesize(rows: DataFrame, pairs: DataFrame, registry: DataFrame, cap: floa
     return rows.unionByName(new.withColumn("seq", F.col("last") + place.cast("long")).select(*rows.columns))
 
 
+def synthesis_stats(emitting: DataFrame, kept: DataFrame, clones: DataFrame) -> DataFrame:
+    """(source_id, n_clones, capped): rows that a source was given, and whether its cap stopped pairs of it."""
+    given = clones.groupBy("source_id").agg(F.count("*").alias("n_clones"))
+    stopped = emitting.join(kept, ["source_id", "pair_idx"], "left_anti").select("source_id").distinct().withColumn("capped", F.lit(True))
+    every = emitting.select("source_id").distinct().join(given, "source_id", "left").join(stopped, "source_id", "left")
+    return every.select("source_id", F.coalesce("n_clones", F.lit(0)).alias("n_clones"), F.coalesce("capped", F.lit(False)).alias("capped"))
+
+
 def synthesize_chained(rows: DataFrame, pairs: DataFrame, registry: DataFrame, cap: float) -> DataFrame:
     """As synthesize(), but clones may donate to later pairs.
 

@@ -60,14 +60,16 @@ class Config:
 def parse(text: str) -> Config:
     raw = tomllib.loads(text)
     synthesis, aggregation = raw.get("synthesis", {}), raw.get("aggregation", {})
+    # a file that names no exceptions has the usual ones
+    exceptions = raw["exceptions"] if "exceptions" in raw else tomllib.loads(default_text())["exceptions"]
     return Config(
-        perspectives=raw.get("perspectives", {}),
-        composites=raw.get("composites", {}),
-        groups=raw.get("groups", {}),
-        roles=raw.get("roles", {}),
+        perspectives=raw.get("ai_stupid_perspective_weights", {}),
+        composites=raw.get("composite_metrics", {}),
+        groups=raw.get("group_weights", {}),
+        roles=raw.get("final_score_weights", {}),
         metrics=raw.get("metrics", {}),
-        exceptions=raw.get("exceptions", []),
-        band=Band(aggregation.get("threshold", 0.70), aggregation.get("width", 0.20)),
+        exceptions=exceptions,
+        band=Band(aggregation.get("trust_threshold", 0.70), aggregation.get("trust_transition_width", 0.20)),
         penalties=raw.get("penalties", {}),
         per_model_cap=synthesis.get("per_model_cap", 0.55),
         per_source_cap=synthesis.get("per_source_cap", 0.55),

@@ -510,6 +510,20 @@ def cell_arbitration(spark, sf):
     return arb.arbitrate(cells, overrides="R").select("entity", "metric", "raw", "source_id", "is_override")
 
 
+BORROWED = ", y AS (SELECT *, source_id = 'N' AND seq % 3 = 0 AS synth, pk % 25 AS brand FROM l WHERE entity IS NOT NULL), c AS (SELECT entity, 'qty' AS metric, qty AS raw, source_id, seq, effort, synth FROM y WHERE effort <= 2 OR (source_id = 'A' AND effort = 5 AND NOT synth) UNION ALL SELECT entity, 'disc', disc, source_id, seq, effort, synth FROM y WHERE disc IS NOT NULL AND (effort <= 2 OR (source_id = 'A' AND effort = 5 AND NOT synth)) UNION ALL SELECT entity, 'AI_canary_health', qty * 2, source_id, seq, effort, synth FROM y WHERE NOT synth AND (effort <= 2 OR (source_id = 'A' AND effort = 5)))"
+
+
+@query(f"{L}{BORROWED} SELECT entity, metric, raw, source_id, synth AS is_synth FROM (SELECT *, row_number() OVER (PARTITION BY entity, metric ORDER BY synth, CASE WHEN NOT synth THEN source_id END DESC, CASE WHEN NOT synth THEN effort END, CASE WHEN NOT synth THEN seq END DESC, source_id, seq) AS nth FROM c) WHERE nth = 1")
+def borrowed_arbitration(spark, sf):
+    """Measured values stand before borrowed ones, health is never borrowed, and rows of high effort score by exception."""
+    rows = b.line_rows(spark, sf)
+    health = (F.col("fields")["qty"].cast("double") * 2).cast("string")
+    borrowed = F.when((F.col("source_id") == "N") & (F.col("seq") % 3 == 0), F.lit("p0"))
+    rows = rows.withColumn("fields", F.map_concat("fields", F.create_map(F.lit("AI_canary_health"), health))).withColumn("synthesized_from", borrowed)
+    cells = arb.eligible_cells(rows, b.line_registry(spark, sf), [{"source": "A", "efforts": ["high"]}])
+    return arb.arbitrate(cells).select("entity", "metric", "raw", "source_id", "is_synth")
+
+
 @query(f"{L} SELECT entity, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources FROM l WHERE entity IS NOT NULL GROUP BY entity")
 def sources_set(spark, sf):
     return arb.sources_of(b.line_rows(spark, sf)).select("entity", joined(F.col("sources")).alias("sources"))
@@ -546,6 +560,15 @@ def synth_cap(spark, sf):
     return synthesize.kept_pairs(given.select("source_id", "pair_idx").distinct(), rows.groupBy("source_id").agg(F.count("*").alias("n_rows")), 0.01).select("source_id", "pair_idx")
 
 
+@query(f"{LINES_OF_PAIRS}{SYNTH.format(cap=0.01)}, cl AS (SELECT source_id, count(*) AS n FROM u JOIN q USING (donor) JOIN ok USING (source_id, pair_idx) GROUP BY ALL) SELECT source_id, coalesce(max(n), 0)::BIGINT AS n_clones, count(em.pair_idx) > (SELECT count(*) FROM ok WHERE ok.source_id = em.source_id) AS capped FROM em LEFT JOIN cl USING (source_id) GROUP BY source_id")
+def synth_stats(spark, sf):
+    rows = cut(b.line_rows(spark, sf))
+    given = cut(synthesize.donations(rows, b.brand_pairs(spark, sf), b.line_registry(spark, sf)))
+    emitting = given.select("source_id", "pair_idx").distinct()
+    kept = cut(synthesize.kept_pairs(emitting, rows.groupBy("source_id").agg(F.count("*").alias("n_rows")), 0.01))
+    return synthesize.synthesis_stats(emitting, kept, synthesize.cloned(given.join(kept, ["source_id", "pair_idx"])))
+
+
 @query()
 def synth_chain(spark, sf):
     """Clones of clones: no plain SQL folds over declared pairs; tests compare it with a loop."""

@@ -30,7 +30,7 @@ class Run:
 def score_cells(cells: DataFrame, config: Config, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Normalized cells, and one row for each entity: metrics, composites, perspectives, groups, roles."""
     defs = config.defs(cells.sparkSession)
-    scores = cut(normalize(cells, defs, config.penalties.get("synthesis", 0.15), config.penalties.get("override", 0.10)))
+    scores = cut(normalize(cells, defs, config.penalties.get("synthesis", 0.15), config.penalties.get("override_reported", 0.10)))
     table = s.wide(scores, sorted({*config.inputs(), HEALTH}))
     synth = scores.filter(F.col("metric") == HEALTH).select("entity", F.col("is_synth").alias("__health_synth"))
     df = registry.select("entity", "ord", "vendor", "display", "aliases").join(table, "entity", "left").join(synth, "entity", "left")
@@ -39,9 +39,10 @@ def score_cells(cells: DataFrame, config: Config, registry: DataFrame) -> tuple[
     df = s.add_level(cut(df), config.perspectives | config.groups, config.band, shrunk=True, missing=True)
     df = cut(s.add_level(cut(df), config.roles, config.band, missing=True))
     p = config.penalties
-    penalty = s.health_penalty(F.col(HEALTH), F.col("__health_synth"), p.get("deadband", 60.0), p.get("floor", 20.0), p.get("most", 6.0))
+    penalty = s.health_penalty(F.col(HEALTH), F.col("__health_synth"), p.get("canary_health_deadband", 60.0), p.get("canary_health_floor", 20.0), p.get("canary_max_role_penalty", 6.0))
     df = df.withColumn("penalty", penalty).withColumns({r: s.penalized(F.col(r), F.col("penalty")) for r in config.roles})
-    shrunk, missing = s.shrunk_names(df), s.missing_names(df)
+    # recorded while the means were made, united with what the columns alone tell
+    shrunk, missing = F.array_sort(F.array_union(s.shrunk_names(df), s.recheck_shrunk(df.columns, config.groups, config.band))), s.missing_names(df)
     keep = [c for c in df.columns if not c.startswith("__") and not c.endswith(("__shrunk", "__missing"))]
     return scores, df.select(*keep, shrunk.alias("groups_shrunk"), missing.alias("missing_inputs"))
 

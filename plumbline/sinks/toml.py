@@ -1,9 +1,9 @@
-"""Reports in TOML. They are for people, so they hold a checked number of entities; tables are written as Parquet."""
+"""Reports in TOML, for people; tables are written as Parquet. Rows come to the driver a partition at a time."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row
 
@@ -11,15 +11,10 @@ from plumbline.plans.config import Config
 from plumbline.plans.scoreboard import Run
 
 VERSION = "1.1.0"
-#: A report of more entities is refused: write the table instead.
-MOST_ENTITIES = 20_000
 
 
-def collected(df: DataFrame, *order: str, most: int = MOST_ENTITIES) -> list[Row]:
-    rows = df.orderBy(*order).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} rows: write a table instead of a report")
-    return rows
+def collected(df: DataFrame, *order) -> Iterator[Row]:
+    return df.orderBy(*order).toLocalIterator()
 
 
 def text(x: str | None) -> str:
@@ -66,12 +61,12 @@ def missing(run: Run, generated_at: str) -> str:
 
 def triage(unmatched: DataFrame, gaps: DataFrame, siblings: DataFrame, blocked: DataFrame, generated_at: str) -> str:
     """Unmatched names by source, and gaps of entities with the siblings that could fill them."""
-    groups = collected(unmatched, "source_id", unmatched["count"].desc(), "name_norm")
+    groups = list(collected(unmatched, "source_id", unmatched["count"].desc(), "name_norm"))
     stopped = {(r.entity, r.source_id) for r in collected(blocked, "entity")}
     near: dict[tuple[str, str], list[Row]] = {}
     for r in collected(siblings, "entity", "source_id", "nth"):
         near.setdefault((r.entity, r.source_id), []).append(r)
-    missing_at = collected(gaps, "entity", "source_id")
+    missing_at = list(collected(gaps, "entity", "source_id"))
     out = [f"generated_at = {text(generated_at)}", "", "[summary]", f"total_unmatched_groups = {len(groups)}", f"total_synthesis_gaps = {len({r.entity for r in missing_at})}", f"total_cap_blocked = {len(stopped)}", ""]
     for g in groups:
         out += [f"[[sources.{text(g.source_id)}.unmatched]]", f"normalized = {text(g.name_norm)}", f"example_name = {text(g.example_name)}", f"vendor_hint = {text(g.vendor_norm)}", f"count = {g['count']}", f"sample_fields = {texts(g.sample_fields)}", ""]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 #: Seconds of the first and the longest wait, and sends after the first (fixed values).
 FIRST_WAIT, LONGEST_WAIT, RETRIES = 0.5, 60.0, 6
@@ -74,3 +75,37 @@ def live_or_cached(live: Callable[[], object], cached: Callable[[], object], wri
         return cached()
     write(payload)
     return payload
+
+
+def answer(url: str, headers: dict[str, str], timeout: float = 30.0) -> tuple[int, dict[str, str], bytes]:
+    """One request over the network."""
+    import urllib.error
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
+            return r.status, dict(r.headers), r.read()
+    except urllib.error.HTTPError as e:
+        return e.code, dict(e.headers), b""
+
+
+def refresh(source, folder: str, urls: list[str], headers: dict[str, str] | None = None, ask: Callable = answer, sleep: Callable[[float], None] = time.sleep, warn: Callable[[str], None] = print) -> str:
+    """Bring a source's cached file up to date: fresh, fetched, stale (the cached one is all there is) or missing."""
+    path = Path(folder, source.file)
+    if source.fresh(folder):
+        return "fresh"
+    if not urls:
+        return "stale" if path.exists() else "missing"
+
+    def cached() -> str:
+        return "stale" if path.exists() else "missing"
+
+    def write(body: bytes) -> None:
+        path.parent.mkdir(parents=True, exist_ok=True)
+        part = path.with_name(f"{path.name}.part")
+        part.write_bytes(body)
+        part.replace(path)
+
+    live = lambda: first_that_answers(lambda url: with_retries(lambda u: ask(u, headers or {}), url, sleep), urls)
+    got = live_or_cached(live, cached, write, lambda x: warn(f"{source.id}: {x}"))
+    return got if isinstance(got, str) else "fetched"

@@ -88,6 +88,11 @@ def terminal_bench(df: DataFrame) -> DataFrame:
     return to_rows(x, "terminal_bench", F.col("name"), None, {"TerminalBench": F.col("score")}, "pos")
 
 
+def overrides_payload(df: DataFrame) -> DataFrame:
+    """overrides() of a cached file, which is a person's list."""
+    return overrides(df.sparkSession, "\n".join(r.value for r in df.collect()))
+
+
 def overrides(spark: SparkSession, text: str) -> DataFrame:
     """Hand-set values, each with a note of where it comes from; the note isn't a field, as its words would tell of effort."""
     rows = []

@@ -47,6 +47,7 @@ SOURCES = [
     Source("sonar", j.sonar, "sonar.json", 7 * DAY),
     Source("mcp_atlas", h.mcp_atlas, "mcp_atlas.html", 7 * DAY),
     Source("arc_agi", j.arc_agi, "arc_agi.json", 7 * DAY),
+    Source("overrides", h.overrides_payload, "score_overrides.toml", 7 * DAY),
 ]
 # End of the fixed values.
 
@@ -59,6 +60,12 @@ def chosen(only: Iterable[str] | None, sources: list[Source] = SOURCES) -> list[
     return [s for s in sources if not names or s.id in names]
 
 
+def secret(name: str, file: str | None = None) -> str | None:
+    """The first line of a file, or else the environment's value; blanks count as nothing, a missing file is an error."""
+    line = next(iter(Path(file).read_text().splitlines()), "").strip() if file else ""
+    return line or os.environ.get(name, "").strip() or None
+
+
 def status(source: Source, folder: str, offline: bool, secrets: dict[str, str] | None = None) -> str:
     """ok, skipped (no secret to fetch with) or missing (nothing cached)."""
     cached = Path(folder, source.file).exists()
@@ -67,13 +74,13 @@ def status(source: Source, folder: str, offline: bool, secrets: dict[str, str] |
     return "ok" if cached else "missing"
 
 
-def read(spark: SparkSession, folder: str, sources: list[Source] = SOURCES, offline: bool = True, overrides: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+def read(spark: SparkSession, folder: str, sources: list[Source] = SOURCES, offline: bool = True, overrides: str | None = None, secrets: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Rows of all sources with a cached payload, and the status of each."""
-    states = {s.id: status(s, folder, offline) for s in sources}
+    states = {s.id: status(s, folder, offline, secrets) for s in sources}
     rows = spark.createDataFrame([], SCHEMA)
     for s in sources:
-        if states[s.id] == "ok":
+        if s.id == "overrides" and overrides is not None:
+            rows, states[s.id] = rows.unionByName(h.overrides(spark, overrides)), "ok"
+        elif states[s.id] == "ok":
             rows = rows.unionByName(s.read(payloads(spark, str(Path(folder, s.file)))))
-    if overrides is not None:
-        rows, states["overrides"] = rows.unionByName(h.overrides(spark, overrides)), "ok"
     return rows, states
