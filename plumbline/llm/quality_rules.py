@@ -9,7 +9,8 @@ verdict returns to its documents by a join.
 Null texts have no words and fail as too short. A null host is a host of its
 own. Repeated rows each get a row and count. Hot hosts are pre-aggregated, and
 the join reads two written tables, whose skewed partitions Spark splits. An
-empty table gives no rows.
+empty table gives no rows. Very long texts are read whole; ties don't arise, as
+rates and verdicts have no order. Other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add_columns, cut, raw
+from plumbline.llm.common import add_columns, cut, named, raw
 
 #: Fixed values of the base rules.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -112,7 +113,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
 
 def judge(df: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id", host_rate: float = HOST_RATE) -> DataFrame:
     """One row for each row of ``df``: doc_id, features, base_failed, host_failed, kept."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
+    docs = df.select(named(id_col).alias("doc_id"), named(host).cast("string").alias("host"), named(text).alias("text"))
     judged = cut(features(docs, "text", ["doc_id", "host"]).withColumns({r: F.expr(x) for r, x in RULES.items()}))
     verdicts = cut(host_rates(judged).select(F.col("host").alias("__host"), (F.greatest(*RULES) > host_rate).alias("host_failed")))
     back = judged.join(verdicts, F.col("host").eqNullSafe(F.col("__host")))

@@ -13,7 +13,8 @@ Sections that tile a text therefore share out all of its tokens. Without a
 column of sections, a section is a line with the line feed that ends it. Given
 sections may overlap or leave gaps; they are code point spans, cut to the text,
 and a null or empty list gives no rows. Null texts count as empty; an empty
-text has no lines. Repeated rows each give their sections. Other columns than
+text has no lines; very long texts are encoded whole. Repeated rows each give
+their sections; an empty table gives no rows. Other columns than
 the id go.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plumbline.llm import bpe
-from plumbline.llm.common import slices, texts
+from plumbline.llm.common import named, slices, texts
 
 FIELDS = ("section", "start", "end", "n_tokens", "n_crossing")
 RULES = ("first", "last", "middle")
@@ -58,13 +59,13 @@ def count(df: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     content = bpe.shared(df, path)
     given = [F.expr(f"transform(`{sections}`, s -> named_struct('start', cast(s.start as bigint), 'end', cast(s.end as bigint)))").alias("given")] if sections else []
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"), *given)
+    docs = df.select(named(id_col).alias("doc_id"), named(text).cast("string").alias("text"), *given)
     schema = StructType([docs.schema["doc_id"]])
     for f in FIELDS:
         schema = schema.add(f, "long")
 
     def run(batches):
-        codec = bpe.codec_of(content.value)
+        codec = bpe.codec_of(content())
         held = bpe.WordIds(codec)
         for part in slices(batches, "text", bpe.INDEX_BYTES):
             column, ids = texts(part.column("text")), part.column("doc_id")
