@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +31,30 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a frame to the shared folder and reads it again; at the end all of these go.
+
+    For loops that join: unlike after cut(), Spark knows the size of what it reads, and doesn't multiply
+    its guesses from round to round until the numbers themselves fill the driver.
+    """
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    names = (f"{folder}/{k}" for k in count())
+
+    def written(df: DataFrame) -> DataFrame:
+        name = next(names)
+        df.write.parquet(name)
+        return spark.read.parquet(name)
+
+    try:
+        yield written
+    finally:
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

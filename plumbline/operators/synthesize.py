@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from plumbline.operators.cuts import cut, tables
+from plumbline.operators.rank import placed
 
 MARK = "SynthesizedFromModelName"
 
@@ -44,8 +46,8 @@ def synthesize(rows: DataFrame, pairs: DataFrame, registry: DataFrame, cap: floa
     sizes = rows.groupBy("source_id").agg(F.count("*").alias("n_rows"), F.max("seq").alias("last"))
     kept = kept_pairs(emitting, sizes.select("source_id", "n_rows"), cap)
     new = cloned(given.join(kept, ["source_id", "pair_idx"])).join(sizes.select("source_id", "last"), "source_id")
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy("pair_idx", "seq"))
-    return rows.unionByName(new.withColumn("seq", F.col("last") + place.cast("long")).select(*rows.columns))
+    numbered = placed(new, "source_id", "pair_idx", ["seq"], down=False)
+    return rows.unionByName(numbered.withColumn("seq", F.col("last") + F.col("place")).select(*rows.columns))
 
 
 def synthesis_stats(emitting: DataFrame, kept: DataFrame, clones: DataFrame) -> DataFrame:
@@ -56,40 +58,61 @@ def synthesis_stats(emitting: DataFrame, kept: DataFrame, clones: DataFrame) ->
     return every.select("source_id", F.coalesce("n_clones", F.lit(0)).alias("n_clones"), F.coalesce("capped", F.lit(False)).alias("capped"))
 
 
+def emissions(present: DataFrame, pairs: DataFrame, written) -> DataFrame:
+    """(source_id, pair_idx, target, donor) of the pairs that find a donor at a source: a listed entity, or the target of an earlier such pair.
+
+    ``present``: (source_id, entity). Each round follows the pairs one step
+    further, so there are as many rounds as the longest chain has pairs.
+    """
+    # since which pair a source has an entity; those that it lists, since before the first
+    since = written(present.select("source_id", "entity", F.lit(-1).cast("long").alias("since")))
+    while True:
+        found = written(pairs.join(since, F.col("donor") == F.col("entity")).filter("pair_idx > since").select("source_id", "pair_idx", "target", "donor"))
+        more = found.groupBy("source_id", F.col("target").alias("entity")).agg(F.min("pair_idx").alias("since"))
+        after = written(since.unionByName(more).groupBy("source_id", "entity").agg(F.min("since").alias("since")))
+        if after.join(since, ["source_id", "entity", "since"], "left_anti").isEmpty():
+            return found
+        since = after
+
+
+def lineages(kept: DataFrame, present: DataFrame, written) -> DataFrame:
+    """(source_id, pair_idx, target, donor, origin, trail): whose rows the clones of each kept pair go back to, by the pairs of ``trail``.
+
+    A donor gives the rows that it lists and the clones that earlier pairs gave it.
+    """
+    listed = present.select("source_id", F.col("entity").alias("donor"))
+    step = written(kept.join(listed, ["source_id", "donor"]).select("source_id", "pair_idx", "target", "donor", F.col("donor").alias("origin"), F.array().cast("array<bigint>").alias("trail")))
+    out = step
+    while not step.isEmpty():
+        given = step.select("source_id", F.col("target").alias("donor"), F.col("pair_idx").alias("via"), "origin", F.col("trail").alias("before"))
+        joined = kept.join(given, ["source_id", "donor"]).filter("pair_idx > via")
+        step = written(joined.select("source_id", "pair_idx", "target", "donor", "origin", F.concat(F.array("via"), F.col("before")).alias("trail")))
+        out = out.unionByName(step)
+    return out
+
+
 def synthesize_chained(rows: DataFrame, pairs: DataFrame, registry: DataFrame, cap: float) -> DataFrame:
     """As synthesize(), but clones may donate to later pairs.
 
-    What pair k sees depends on the clones of all pairs before it, source by
-    source, so lineages are folded over the declared pairs: only which entities
-    a source lists goes into the fold. It gives, for each pair, the entities
-    whose rows the clones go back to; the rows are then cloned by a join.
+    Which pairs emit doesn't depend on later ones, and a source's cap stops all
+    pairs from some point on; so first all that could emit are found, then the
+    cap is applied to these, and then lineages are followed through what is left.
     """
     names = registry.select(F.col("entity").alias("target"), F.col("display").alias("target_display"))
-    listed = [(p.pair_idx, p.target, p.donor, p.target_display) for p in pairs.join(names, "target").orderBy("pair_idx").collect()]
     sizes = rows.groupBy("source_id").agg(F.count("*").alias("n_rows"), F.max("seq").alias("last"))
-    present = rows.filter("entity is not null").select("source_id", "entity").distinct().join(sizes, "source_id")
-    schema = T.StructType.fromDDL("source_id string, pair_idx long, target string, donor string, target_display string, origin string, via string, nth int")
-
-    def fold(frame):
-        import pandas as pd
-
-        source, real, emitted, out = frame["source_id"].iloc[0], int(frame["n_rows"].iloc[0]), 0, []
-        held = {e: [(e, None)] for e in frame["entity"]}  # whose rows an entity has, and the name they bear
-        for idx, target, donor, display in listed:
-            if emitted and emitted / (real + emitted) > cap:
-                break
-            given = list(held.get(donor, []))
-            out += [(source, idx, target, donor, display, origin, via, i) for i, (origin, via) in enumerate(given)]
-            held.setdefault(target, []).extend((origin, display) for origin, _ in given)
-            emitted += bool(given)
-        return pd.DataFrame(out, columns=schema.names)
-
-    lineages = present.groupBy("source_id").applyInPandas(fold, schema).withColumnRenamed("source_id", "__source")
-    given = rows.join(lineages, (F.col("source_id") == F.col("__source")) & (F.col("entity") == F.col("origin")))
-    named = given.withColumn("model_name", F.coalesce("via", "model_name"))
-    new = cloned(named, "nth").join(sizes.select("source_id", "last"), "source_id")
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy("pair_idx", "nth", "seq"))
-    return rows.unionByName(new.withColumn("seq", F.col("last") + place.cast("long")).select(*rows.columns))
+    with tables(rows.sparkSession) as written:
+        known = written(pairs.join(names.select("target"), "target").select("pair_idx", "target", "donor"))
+        present = written(rows.filter("entity is not null").select("source_id", "entity").distinct())
+        could = emissions(present, known, written)
+        kept = written(could.join(kept_pairs(could.select("source_id", "pair_idx"), sizes.select("source_id", "n_rows"), cap), ["source_id", "pair_idx"]))
+        found = cut(lineages(kept, present, written))
+    shown = registry.select(F.col("entity").alias("donor"), F.col("display").alias("donor_display"))
+    asked = found.join(names, "target").join(shown, "donor", "left").withColumnRenamed("source_id", "__source")
+    given = rows.join(asked, (F.col("source_id") == F.col("__source")) & (F.col("entity") == F.col("origin")))
+    # a clone that is cloned bears the name that its pair gave it
+    named = given.withColumn("model_name", F.when(F.size("trail") > 0, F.col("donor_display")).otherwise(F.col("model_name")))
+    new = placed(cloned(named, "trail"), "source_id", "pair_idx", ["trail", "seq"], down=False)
+    return rows.unionByName(new.join(sizes.select("source_id", "last"), "source_id").withColumn("seq", F.col("last") + F.col("place")).select(*rows.columns))
 
 
 def stale_pairs(pairs: DataFrame, cells: DataFrame, registry: DataFrame) -> DataFrame:

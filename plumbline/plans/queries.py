@@ -569,9 +569,18 @@ def synth_stats(spark, sf):
     return synthesize.synthesis_stats(emitting, kept, synthesize.cloned(given.join(kept, ["source_id", "pair_idx"])))
 
 
-@query()
+CHAIN_SQL = f"""{LINES_OF_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)}, z AS (SELECT source_id, count(*) AS n_rows FROM l GROUP BY source_id),
+    em AS (SELECT DISTINCT source_id, pair_idx, q.target, donor FROM u JOIN q USING (donor) UNION SELECT em.source_id, q.pair_idx, q.target, q.donor FROM em JOIN q ON q.donor = em.target AND q.pair_idx > em.pair_idx),
+    ru AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY pair_idx) - 1 AS before FROM em),
+    k AS (SELECT ru.* FROM ru JOIN z USING (source_id) WHERE before = 0 OR before / (n_rows + before)::DOUBLE <= 0.55e0),
+    li AS (SELECT source_id, pair_idx, target, donor, donor AS origin FROM k WHERE (source_id, donor) IN (SELECT source_id, entity FROM u)
+           UNION ALL SELECT k.source_id, k.pair_idx, k.target, k.donor, li.origin FROM li JOIN k ON k.source_id = li.source_id AND k.donor = li.target AND k.pair_idx > li.pair_idx)
+    SELECT li.source_id, target AS entity, li.donor AS synthesized_from, count(*) AS n FROM li JOIN u ON u.source_id = li.source_id AND u.entity = li.origin GROUP BY ALL"""
+
+
+@query(CHAIN_SQL)
 def synth_chain(spark, sf):
-    """Clones of clones: no plain SQL folds over declared pairs; tests compare it with a loop."""
+    """Clones of clones."""
     rows = synthesize.synthesize_chained(b.line_rows(spark, sf), b.brand_pairs(spark, sf), b.line_registry(spark, sf), 0.55)
     return rows.filter("synthesized_from is not null").groupBy("source_id", "entity", "synthesized_from").agg(F.count("*").alias("n"))
 
