@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
-from itertools import count
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.cuts import cut, shared_folder  # noqa: F401
+from plumbline.operators.cuts import cut, remove, shared_folder, tables  # noqa: F401
 
 #: Bytes of text that a Python task handles at a time.
 SLICE_BYTES = 4_000_000
@@ -24,33 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Gives a function that writes a frame to the shared folder and reads it again; at the end all of these go.
-
-    For loops that join: unlike after cut(), Spark knows the size of what it reads, and doesn't multiply
-    its guesses from round to round until the numbers themselves fill the driver.
-    """
-    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-    names = (f"{folder}/{k}" for k in count())
-
-    def written(df: DataFrame) -> DataFrame:
-        name = next(names)
-        df.write.parquet(name)
-        return spark.read.parquet(name)
-
-    try:
-        yield written
-    finally:
-        remove(spark, folder)
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of whatever store it is in."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def named(name: str) -> Column:
     """The column of this very name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
