@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, langid, lm_score, mixing, quality_rules, secrets, simhash, token_counts, url_filter
+from plumbline.llm import bpe, decontaminate, exact_dedup, langid, lexical, lm_score, merkle, mixing, quality_rules, secrets, simhash, token_counts, url_filter
 from plumbline.llm.common import sha256, table
 
 
@@ -71,6 +71,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(LISTED, "host string, path string, verdict string"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.col("items")
+    return done.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), sha256(F.array_join(items, ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    when = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    done = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": F.col("n_chars") + 1}, when=when)
+    return done.select("doc_id", "leaf", "subroot", "root", sha256(F.array_join("proof.hash", "")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +100,9 @@ QUERIES = {
         op8_exact_dedup,
         op9_quality_rules,
         op10_url_filter,
+        op11_decontaminate,
+        op12_lexical_search,
+        op13_merkle_manifest,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -177,6 +196,94 @@ ORACLE_SQL: dict[str, str] = {
                NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT host_failed AS kept
         FROM f JOIN g ON f.source IS NOT DISTINCT FROM g.source
     """,
+    "op11_decontaminate": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), q AS (
+            SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS words
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(10, len(w)) AS k FROM b) WHERE k > 0)
+        ), o AS (
+            SELECT id, k, i, array_to_string(w[i:i + k - 1], ' ') AS words
+            FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k)
+        ), h AS (
+            SELECT id, item, i, k FROM o JOIN q USING (k, words)
+        ), n AS (
+            SELECT id, count(DISTINCT i + x) AS n_hit FROM h, range(10) AS r(x) WHERE x < k GROUP BY id
+        ), s AS (
+            SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT id, item FROM h) GROUP BY id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (id) LEFT JOIN s USING (id)
+    """,
+    "op12_lexical_search": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS id, doc_id,
+                   unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), c AS (
+            SELECT *, (sum(tf) OVER (PARTITION BY id))::BIGINT AS n FROM (SELECT id, doc_id, term, count(*) AS tf FROM t GROUP BY id, doc_id, term)
+        ), s AS (
+            SELECT count(DISTINCT id) AS docs, count(*) AS terms FROM t
+        ), f AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM c GROUP BY term), s
+        ), p AS (
+            SELECT term, id, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS impact FROM c JOIN f USING (term), s
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), r AS (
+            SELECT item_id, id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY item_id, id, doc_id
+        )
+        SELECT item_id, rank::INT AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+    """,
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE t AS (
+            SELECT row_number() OVER () AS id, *,
+                   list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+                       lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))) AS crc
+            FROM documents
+        ), p AS (
+            SELECT id, doc_id, lang, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+                   coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS other,
+                   coalesce(strlen(text) || ':' || text, '-') AS z, coalesce(xor(crc, 4294967295::BIGINT) % 7 = 0, false) AS hit
+            FROM t
+        ), l AS (
+            SELECT id, doc_id, lang, sha256(a || n || z) AS leaf, sha256(a || CASE WHEN hit THEN other ELSE n END || z) AS seen FROM p
+        ), i AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l
+        ), nodes AS (
+            SELECT lang, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY lang) AS c FROM i
+            UNION ALL
+            SELECT lang, level + 1, idx // 2, sha256(h || coalesce(nxt, '')), (c + 1) // 2
+            FROM (SELECT *, lead(h) OVER (PARTITION BY lang ORDER BY idx) AS nxt FROM nodes) WHERE idx % 2 = 0 AND c > 1
+        ), subroots AS (
+            SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS c FROM nodes WHERE c = 1
+        ), tops AS (
+            SELECT 0 AS level, idx, h, c FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 2, sha256(h || coalesce(nxt, '')), (c + 1) // 2 FROM (SELECT *, lead(h) OVER (ORDER BY idx) AS nxt FROM tops) WHERE idx % 2 = 0 AND c > 1
+        ), steps AS (
+            SELECT i.id, v.level AS k, s.h, CASE WHEN (i.idx >> v.level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.h, '') AS step
+            FROM i JOIN (SELECT DISTINCT lang, level FROM nodes WHERE c > 1) AS v ON i.lang IS NOT DISTINCT FROM v.lang
+            LEFT JOIN nodes AS s ON s.lang IS NOT DISTINCT FROM i.lang AND s.level = v.level AND s.idx = xor(i.idx >> v.level, 1)
+            UNION ALL
+            SELECT i.id, 1000 + v.level, s.h, CASE WHEN (r.idx >> v.level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.h, '')
+            FROM i JOIN subroots AS r ON i.lang IS NOT DISTINCT FROM r.lang, (SELECT DISTINCT level FROM tops WHERE c > 1) AS v
+            LEFT JOIN tops AS s ON s.level = v.level AND s.idx = xor(r.idx >> v.level, 1)
+        ), w AS (
+            SELECT id, coalesce(string_agg(h, '' ORDER BY k), '') AS proof, list(step ORDER BY k) AS steps FROM steps GROUP BY id
+        ), f AS (
+            SELECT i.doc_id, i.leaf, r.h AS subroot, (SELECT h FROM tops WHERE c = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+                   list_reduce(list_concat([seen], coalesce(steps, [])), lambda x, y: CASE WHEN y[1] = 'L' THEN sha256(y[2:] || x) ELSE sha256(x || y[2:]) END) AS folded_root
+            FROM i JOIN subroots AS r ON i.lang IS NOT DISTINCT FROM r.lang LEFT JOIN w USING (id)
+        )
+        SELECT *, folded_root = root AS verified FROM f
+    """,
     "op10_url_filter": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
