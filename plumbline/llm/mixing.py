@@ -154,12 +154,16 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", id_col: str =
 def mixed(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, times: float = MOST_TIMES, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """The rows of ``df`` as the mix takes them, stretch by stretch of the schedule in the order of their slots.
 
-    Each pass over a source takes a document whole if its blocks have half of it
-    or more. Repeated rows of one id and text are taken or left together.
+    Only the document at which a source's target falls is taken in part, by its
+    last pass; it is taken whole if its blocks have half of it or more, so what is
+    taken of a source is within half a document of its target. A source whose
+    target is under half of its first document gives that one document: none
+    with a target is left out. Repeated rows of one id and text are taken or left
+    together.
     """
     _, _, stream, taken = stretches(df, text, source, id_col, weights, share, times, seed, block)
-    each = taken.join(stream.select("at", "start", "order", "size"), ["at", "start"]).groupBy("order", "turn").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("slot").alias("slot"))
+    each = taken.join(stream.select("at", "start", "order", "size"), ["at", "start"]).groupBy("order", "turn").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.min("slot").alias("slot"), F.min("start").alias("start"))
     key, slot = free(df, "key"), free(df, "slot")
-    kept = cut(each.filter("2 * taken >= size").select(F.col("order").alias(key), F.col("slot").alias(slot)))
+    kept = cut(each.filter("2 * taken >= size or start = 0 and turn = 0").select(F.col("order").alias(key), F.col("slot").alias(slot)))
     rows = df.withColumn(key, key_of(named(text), named(id_col), seed)).join(kept, key)
     return rows.repartition(F.expr(f"{slot} div {STRETCH}")).sortWithinPartitions(slot, key).select(*map(named, df.columns))

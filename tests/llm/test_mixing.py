@@ -95,3 +95,16 @@ def test_odd_rows(odd, docs):
     assert copies.columns == [*odd.columns, "size"] and copies.count() > 5
     assert mixing.mix(docs((1, "x")).limit(0)).count() == 0
     assert [r.taken for r in mixing.mix(docs((1, None), (2, " "))).collect()] == [0, 0]
+
+
+def test_no_source_is_left_out(spark, docs):
+    """Large sources, small ones, and one of a single document, whose target is under half of it."""
+    rows = [(1000 * k + i, "w " * 40, "en", s) for k, (s, n) in enumerate({"a": 300, "d": 300, "g": 300, "b": 12, "e": 12, "f": 12}.items()) for i in range(n)]
+    df = docs(*rows, (9000, "w " * 10_000, "en", "c"), (9001, None, "en", "h"), (9002, "", "en", "c"))
+    target = {r.source: r.target for r in mixing.mix(df).collect()}
+    assert 0 < target["c"] < 5_000
+    taken = {}
+    for r in mixing.mixed(df).collect():
+        taken.setdefault(r.source, []).append(len(r.text.split()))
+    assert taken["c"] == [10_000] and set(taken) == set("abcdefg")
+    assert all(abs(sum(taken[s]) - target[s]) <= 20 for s in "abdefg")
