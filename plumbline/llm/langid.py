@@ -3,10 +3,12 @@
 Bytes are embedded; filters of several widths run over a window of fixed
 length, the largest value of each over the window is kept, and a softmax layer
 turns these into languages. The network is trained in numpy on the driver, on a
-bounded sample of labelled rows: at most DOCS documents of each of the LANGUAGES
-commonest languages, the first in the order of a hash of their doc_id among those
-of up to LONGEST bytes, with all windows of their whole texts. Every text is then
-cut into windows from start to end; they go through the network in
+bounded sample of labelled rows: of each of the LANGUAGES commonest languages at
+most DOCS documents, the first in the order of a hash of their doc_id whatever
+their length, and of their windows at most WINDOWS, the first in the order of a
+hash, so that long texts are drawn from over their whole length. That is 100 MB
+of windows at most on the driver, kept as 16-bit numbers for twice that. Every
+text is then cut into windows from start to end; they go through the network in
 batches, and a document's probabilities are the mean over its windows, weighted
 by their bytes.
 
@@ -26,10 +28,10 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add_columns, free, named, raw
+from plumbline.llm.common import add_columns, free, named, raw, slices
 
-#: Bounds of the training sample: documents of a language, languages, bytes of a document.
-DOCS, LANGUAGES, LONGEST = 150, 200, 32_768
+#: Bounds of the training sample: documents of a language, languages, windows of a language.
+DOCS, LANGUAGES, WINDOWS = 150, 200, 2_000
 #: Shape of the network.
 LENGTH, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 #: Training.
@@ -47,7 +49,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def windows(text: bytes, length: int = LENGTH) -> np.ndarray:
     """A text's bytes in rows of ``length``; 256 stands behind its end."""
     n = max(1, -(-len(text) // length))
-    out = np.full(n * length, 256, np.int32)
+    out = np.full(n * length, 256, np.int16)
     out[: len(text)] = np.frombuffer(text, np.uint8)
     return out.reshape(n, length)
 
@@ -125,28 +127,45 @@ class ByteCNN:
         return self
 
 
-def sample(df: DataFrame, text: str, lang: str, id_col: str, docs: int = DOCS, languages: int = LANGUAGES, longest: int = LONGEST) -> DataFrame:
-    """(lang, doc_id, text): at most ``docs`` labelled documents that aren't held out of each of the ``languages`` commonest, whole."""
-    fit = F.octet_length("text") <= longest
-    rows = df.select(named(lang).cast("string").alias("lang"), named(text).cast("string").alias("text"), named(id_col).alias("doc_id")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & fit)
+def pieces_of(df: DataFrame, most: int) -> DataFrame:
+    """(lang, doc_id, nth, piece) of (lang, doc_id, text): a text's windows, of more than ``most`` those that a hash of their number puts first."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            for k, text in enumerate(raw(batch.column("text"))):
+                n = max(1, -(-len(text) // LENGTH))
+                hashed = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                nth = np.arange(n) if n <= most else np.sort(np.argpartition(hashed ^ hashed >> np.uint64(29), most)[:most])
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*(row.column(c).take(pa.array(np.zeros(len(nth), np.int64))) for c in ("lang", "doc_id")), pa.array(nth, pa.int64()), pa.array([text[i * LENGTH : (i + 1) * LENGTH] for i in nth.tolist()], pa.binary())], ["lang", "doc_id", "nth", "piece"])
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("lang", "doc_id", "text").mapInArrow(run, f"lang string, doc_id {kind}, nth long, piece binary")
+
+
+def sample(df: DataFrame, text: str, lang: str, id_col: str, docs: int = DOCS, languages: int = LANGUAGES, most: int = WINDOWS) -> DataFrame:
+    """(lang, doc_id, nth, piece): windows of labelled documents that aren't held out, within the bounds above."""
+    rows = df.select(named(lang).cast("string").alias("lang"), named(text).cast("string").alias("text"), named(id_col).alias("doc_id")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
     chosen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("order")).join(F.broadcast(chosen), "lang")
-    keyed = keys.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= docs).select("lang", "doc_id").distinct()
-    # the texts are read again for the few chosen documents alone
-    return rows.join(F.broadcast(keyed), ["lang", "doc_id"], "left_semi")
+    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("order")).distinct().join(F.broadcast(chosen), "lang")
+    keyed = keys.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= docs).select("lang", F.col("doc_id").alias("id"))
+    # the texts are read again for the few chosen documents alone; a null id is an id
+    own = rows.join(F.broadcast(keyed.withColumnRenamed("lang", "of")), (F.col("lang") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "nth", "piece"), "doc_id", "nth", "piece")
+    return pieces_of(own, most).distinct().withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= most)
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs: int = DOCS) -> ByteCNN | None:
-    """A network fitted on the bounded sample; None if there is no labelled row."""
-    got = sample(df, text, lang, id_col, docs).distinct().collect()
+def train(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs: int = DOCS, most: int = WINDOWS) -> ByteCNN | None:
+    """A network fitted on the bounded sample; None if there is no labelled row. Runs the jobs that gather the sample."""
+    got = sample(df, text, lang, id_col, docs, most=most).select("lang", "place", "piece").collect()
     if not got:
         return None
-    got.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.text))
+    got.sort(key=lambda r: (r.lang, r.place))
     languages = sorted({r.lang for r in got})
-    cuts = [windows(r.text.encode()) for r in got]
-    labels = np.repeat([languages.index(r.lang) for r in got], [len(c) for c in cuts])
-    return ByteCNN(languages).fit(np.concatenate(cuts), labels)
+    at = {x: k for k, x in enumerate(languages)}
+    cuts = [windows(bytes(r.piece)) for r in got]
+    return ByteCNN(languages).fit(np.concatenate(cuts), np.array([at[r.lang] for r in got]))
 
 
 def identify(df: DataFrame, network: ByteCNN | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -71,3 +71,47 @@ def test_stage_goes_by_the_score(spark, docs, odd):
     nothing = odd.withColumn("lang", odd.lang.substr(1, 0)).replace("", None, "lang")
     assert [r.doc_id for r in langid.recognized(nothing).collect()].count(6) == 2
     assert {r.doc_id for r in langid.recognized(nothing).collect()} == {None, 4, 5, 6, 8}
+
+
+def test_long_texts_are_learned_from(docs):
+    """Languages that stand in very long texts only, and a sample no larger for it."""
+    english, french = "the house and the garden of this town ", "le maison été façade et la ville où "
+    both = [(i, (english if i % 2 else french) * (1_200 + i), "en" if i % 2 else "fr") for i in range(40)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(*both), langid.train(docs(*both), most=300)).collect()}
+    assert got == {i: "en" if i % 2 else "fr" for i in range(40)}
+    mixed = [(i, english * 3 if i % 2 else french * 1_200, "en" if i % 2 else "fr") for i in range(40)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(*mixed), langid.train(docs(*mixed))).collect()}
+    assert got == {i: "en" if i % 2 else "fr" for i in range(40)}
+    counts = langid.sample(docs(*both), "text", "lang", "doc_id", most=70).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in counts} == {"en": 70, "fr": 70}
+
+
+def plainly(net, text):
+    """Probabilities of a text by loops over windows, filters and places."""
+    p, total = np.zeros(len(net.languages)), 0
+    n = len(net.parts["bias"])
+    for at in range(0, max(1, len(text)), langid.LENGTH):
+        piece = list(text[at : at + langid.LENGTH])
+        held = piece + [256] * (langid.LENGTH - len(piece) + net.wide - 1)
+        pooled = np.zeros(n)
+        for f in range(n):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            kernel = net.parts["filters"][:, f].reshape(net.wide, langid.DIM)
+            best = max(sum(float(net.parts["embedding"][held[i + j]] @ kernel[j]) for j in range(width)) for i in range(langid.LENGTH))
+            pooled[f] = max(0.0, best + net.parts["bias"][f])
+        logits = pooled @ net.parts["out"] + net.parts["out_bias"]
+        e = np.exp(logits - logits.max())
+        p, total = p + len(piece) * e / e.sum(), total + len(piece)
+    return p / total
+
+
+def test_query_against_plain_network(spark):
+    """The query's rows are those of its trained network, computed plainly."""
+    table = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    net = langid.train(table)
+    text = {r.doc_id: r.text for r in table.collect()}
+    rows = [r for r in queries.op6_language_id(spark, f"{DATA}/sf0.001").collect() if text[r.doc_id] and len(text[r.doc_id]) < 700][:12]
+    assert len(rows) == 12
+    for r in rows:
+        p = plainly(net, text[r.doc_id].encode())
+        assert (r.lang_pred == "und" and r.score == 0) or (r.lang_pred == net.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-4)
