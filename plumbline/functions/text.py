@@ -25,22 +25,29 @@ VENDORS = {
 }
 # End of the fixed values.
 
-#: A numbered character reference.
-NUMBERED = "&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+#: A character reference behind its ``&``: a name, or a number in decimal or hexadecimal.
+REFERENCE = "^(?:(amp|" + "|".join(name for name, _ in ENTITIES) + ")|#[+]?0*([0-9]+)|#[xX][+]?0*([0-9a-fA-F]+));"
+
+
+def character(code: Column) -> Column:
+    """The character of a code point; NULL for what is none."""
+    known = (code >= 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def html_unescape(s: Column) -> Column:
-    """Named references and decimal or hexadecimal ones to ASCII characters; ``&amp;`` last, so nothing is unescaped twice."""
-    for name, char in ENTITIES:
-        s = F.replace(s, F.lit(f"&{name};"), F.lit(char))
-    def put(text: Column, ref: Column) -> Column:
-        hexed = F.lower(F.substring(ref, 1, 1)) == "x"
-        code = F.when(hexed, F.conv(F.substring(ref, 2, 8), 16, 10)).otherwise(ref).cast("int")
-        char = F.when((code > 0) & (code < 128), F.char(code.cast("long"))).otherwise(" ")
-        return F.replace(text, F.concat(F.lit("&#"), ref, F.lit(";")), char)
-
-    s = once(s, lambda t: F.when(t.contains("&#"), F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(NUMBERED), F.lit(1))), t, put)).otherwise(t))
-    return F.replace(s, F.lit("&amp;"), F.lit("&"))
+    """Named references, and numbered ones to any character, in one pass from left to right: what comes out is never read again."""
+
+    def put(part: Column, i: Column) -> Column:
+        name, decimal, hexed = (F.regexp_extract(part, REFERENCE, k) for k in (1, 2, 3))
+        named = F.when(name == "amp", "&")
+        for entity, char in ENTITIES:
+            named = named.when(name == entity, char)
+        code = F.when((decimal != "") & (F.length(decimal) < 8), decimal).when((hexed != "") & (F.length(hexed) < 7), F.conv(hexed, 16, 10)).cast("long")
+        rest = F.substring(part, F.locate(";", part) + 1, F.length(part))
+        return F.when(i == 0, part).otherwise(F.coalesce(F.concat(F.coalesce(named, character(code)), rest), F.concat(F.lit("&"), part)))
+
+    return once(s, lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.split(t, "&"), put), "")).otherwise(t))
 
 
 def html_escape(s: Column) -> Column:

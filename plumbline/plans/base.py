@@ -141,6 +141,16 @@ def part_rows_sql() -> str:
         FROM part)"""
 
 
+def unescape_sql(x: str) -> str:
+    """html_unescape() in DuckDB."""
+    names = "".join(f" WHEN starts_with(p, '{n};') THEN '{c.replace(chr(39), chr(39) * 2)}' || p[{len(n) + 2}:]" for n, c in (("amp", "&"), *ENTITIES))
+    rest = "substr(p, strpos(p, ';') + 1)"
+    valid = "({0} < 55296 OR {0} BETWEEN 57344 AND 1114111)"
+    decimal, hexed = "TRY_CAST(regexp_extract(p, '^#[+]?0*([0-9]+);', 1) AS INT)", "TRY_CAST('0x' || regexp_extract(p, '^#[xX][+]?0*([0-9a-fA-F]+);', 1) AS INT)"
+    numbered = "".join(f" WHEN {valid.format(n)} THEN chr({n}) || {rest}" for n in (decimal, hexed))
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p{names}{numbered} ELSE '&' || p END), '')"
+
+
 def normal_sql(x: str) -> str:
     """normalize_name() in DuckDB, whose regular expressions can't look around."""
     for name, char in ENTITIES:

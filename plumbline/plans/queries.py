@@ -360,9 +360,17 @@ def html_escape(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(t.html_escape(F.col("html"))).alias("digest"))
 
 
-@query("SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS digest FROM pages")
+#: Numbered references of characters all over Unicode, one that is unescaped once only, and what stays as it is.
+PLANTED = "{text} || ' Caf&#233; &#x26;amp; &#38;lt; &bogus; &#55296; &#1114112; &#' || (page_id * 7919 % 1100000 + 33) || ';&#x' || hex(page_id * 104729 % 55000 + 33) || ';'"
+
+
+def planted(text: str):
+    return F.expr(PLANTED.format(text=text))
+
+
+@query(f"SELECT page_id, md5({b.unescape_sql('html')}) AS digest FROM (SELECT page_id, {PLANTED.format(text='html')} AS html FROM pages)")
 def html_unescape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(t.html_unescape(F.col("html"))).alias("digest"))
+    return table(spark, sf, "pages").select("page_id", F.md5(t.html_unescape(planted("html")).cast("binary")).alias("digest"))
 
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), ',') AS links FROM pages")
@@ -392,9 +400,9 @@ def vendor_from_id(spark, sf):
     return table(spark, sf, "pages").select("page_id", t.vendor_of_id(x).alias("vendor"), t.display_name(x).alias("display"), t.vendor_name(named).alias("maker"))
 
 
-@query(f"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(cell, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '{chr(34)}'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS cell FROM (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS cell FROM pages)")
+@query(rf"SELECT page_id, trim(regexp_replace({b.unescape_sql("regexp_replace(cell, '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g')) AS cell FROM (SELECT page_id, {PLANTED.format(text="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS cell FROM pages)")
 def cell_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", t.cell_text(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("cell"))
+    return table(spark, sf, "pages").select("page_id", t.cell_text(planted("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")).alias("cell"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN value END AS accuracy FROM events")
