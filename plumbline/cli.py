@@ -20,8 +20,9 @@ from plumbline.operators.match import resolve
 from plumbline.plans import config as c
 from plumbline.plans.scoreboard import Run, run
 from plumbline.sinks import tables, toml
-from plumbline.sources import fetch
+from plumbline.sources import connector
 from plumbline.sources import registry as reg
+from plumbline.sources.rows import payloads
 
 
 def arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -38,7 +39,8 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--now", help="RFC 3339 time of the report")
     p.add_argument("--min-count", type=int, default=1)
     p.add_argument("--offline", action="store_true")
-    p.add_argument("--addresses", help="TOML of where sources are fetched: <source>.urls, and <source>.header for its secret")
+    p.add_argument("--addresses", help="TOML of where sources are fetched, instead of the built-in one")
+    p.add_argument("--pause", type=float, default=1.0, help="factor of all waits between requests")
     p.add_argument("--aa-api-key-file")
     p.add_argument("--openrouter-api-key-file")
     p.add_argument("--hf-token-file")
@@ -62,27 +64,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sources = reg.chosen(a.only.split(","))
     files = {"ARTIFICIAL_ANALYSIS_API_KEY": a.aa_api_key_file, "OPENROUTER_API_KEY": a.openrouter_api_key_file, "HF_TOKEN": a.hf_token_file}
     secrets = {k: x for k, f in files.items() if (x := reg.secret(k, f))}
-    if a.command in ("fetch", "all") and not a.offline and a.addresses:
-        where = tomllib.loads(read(a.addresses))
-        for s in sources:
-            at = where.get(s.id, {})
-            key = secrets.get(s.secret) if s.secret else None
-            if s.secret and not key and not s.fresh(a.cache):
-                print(f"{s.id}\tskipped")
-                continue
-            print(f"{s.id}\t{fetch.refresh(s, a.cache, at.get('urls', []), {at['header']: key} if key and 'header' in at else {})}")
+    if a.offline and a.command in ("fetch", "verify-sources"):
+        print(f"{a.command} needs the network and doesn't go with --offline", file=sys.stderr)
+        return 2
+    if a.command in ("fetch", "all", "verify-sources") and not a.offline:
+        complain = lambda x: print(f"warning: {x}", file=sys.stderr)
+        got = connector.bring(spark, sources, a.cache, read(a.addresses), secrets, complain, pause=a.pause)
+        for source, state in sorted(got.items()):
+            print(f"{source}\t{state}")
     if a.command == "fetch":
         return 0
+    if a.command == "verify-sources":
+        return verify(spark, sources, a.cache, got)
     if a.command == "render":
         done, states = tables.read(spark, str(out / "tables"))
         return report(spark, done, states, config, a, out, stamp)
     rows, states = reg.read(spark, a.cache, sources, a.offline or a.command == "score", read(a.overrides), secrets)
     pairs = c.pairs(spark, read(a.pairs) or "")
-    if a.command == "verify-sources":
-        counts = {r.source_id: r["count"] for r in rows.groupBy("source_id").count().collect()}
-        for source, state in sorted(states.items()):
-            print(f"{source}\t{state}\t{counts.get(source, 0)}")
-        return int(any(s == "ok" and not counts.get(k) for k, s in states.items()))
     if a.command == "triage":
         matched = resolve(rows, registry)
         capped = synthesize.synthesize_chained(matched, pairs, registry, config.per_source_cap)
@@ -99,6 +97,24 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return report(spark, done, states, config, a, out, stamp)
 
 
+def verify(spark: SparkSession, sources: list[reg.Source], folder: str, states: dict[str, str]) -> int:
+    """Read each source apart, so that a bad payload is told with the others; skipped ones aren't failures."""
+    failed = {}
+    for s in sources:
+        if states[s.id] == "missing" and s.id != "overrides":
+            failed[s.id] = "nothing could be fetched"
+        elif states[s.id] not in ("missing", "skipped"):
+            try:
+                n = s.read(payloads(spark, str(Path(folder, s.file)))).count()
+                failed |= {} if n else {s.id: "no rows parsed"}
+                print(f"{s.id}\tok\t{n}")
+            except Exception as e:  # whatever a payload makes a reader do, the next source is still read
+                failed[s.id] = str(e).splitlines()[0]
+    for source, why in failed.items():
+        print(f"{source}: {why}", file=sys.stderr)
+    return int(bool(failed))
+
+
 def report(spark: SparkSession, done: Run, states: dict[str, str], config: c.Config, a: argparse.Namespace, out: Path, stamp: str) -> int:
     """The reports of a stored run, and its leaderboard with the changes since an earlier one."""
     (out / "scoreboard.toml").write_text(toml.scoreboard(done, config, stamp, states))

@@ -1,4 +1,4 @@
-"""Fetching payloads: retries, other addresses, pages, and the cache as a last resort.
+"""Fetching payloads: retries and other addresses. Pages and payloads are read by ``connector``.
 
 ``get`` is any function from an address to (status, headers, body).
 """
@@ -6,12 +6,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Callable
 
 #: Seconds of the first and the longest wait, and sends after the first (fixed values).
 FIRST_WAIT, LONGEST_WAIT, RETRIES = 0.5, 60.0, 6
-PAGE = 100
 
 
 class FetchError(RuntimeError):
@@ -31,7 +29,7 @@ def with_retries(get: Callable, url: str, sleep: Callable[[float], None] = time.
             status, headers, body = get(url)
             if status < 400:
                 return body
-            last = f"status {status}"
+            last = f"status {status} {body[:200].decode('utf-8', 'replace') if isinstance(body, bytes) else ''}".strip()
             if not worth_retrying(status):
                 break
             if status == 429 and str(headers.get("Retry-After", "")).isdigit():
@@ -55,28 +53,6 @@ def first_that_answers(fetch: Callable[[str], object], urls: list[str]):
     raise error
 
 
-def pages(fetch_page: Callable[[int, int], tuple[list, int]], length: int = PAGE) -> Iterator[list]:
-    """Pages of (rows, total) until the total is reached or a page is empty."""
-    at, total = 0, 1
-    while at < total:
-        rows, total = fetch_page(at, length)
-        if not rows:
-            return
-        yield rows
-        at += len(rows)
-
-
-def live_or_cached(live: Callable[[], object], cached: Callable[[], object], write: Callable[[object], None], warn: Callable[[str], None] = print):
-    """The live payload, which is then cached; if it fails, the cached one, which isn't written again."""
-    try:
-        payload = live()
-    except (FetchError, OSError) as e:
-        warn(f"stale cache used: {e}")
-        return cached()
-    write(payload)
-    return payload
-
-
 def answer(url: str, headers: dict[str, str], timeout: float = 30.0) -> tuple[int, dict[str, str], bytes]:
     """One request over the network."""
     import urllib.error
@@ -86,26 +62,4 @@ def answer(url: str, headers: dict[str, str], timeout: float = 30.0) -> tuple[in
         with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
             return r.status, dict(r.headers), r.read()
     except urllib.error.HTTPError as e:
-        return e.code, dict(e.headers), b""
-
-
-def refresh(source, folder: str, urls: list[str], headers: dict[str, str] | None = None, ask: Callable = answer, sleep: Callable[[float], None] = time.sleep, warn: Callable[[str], None] = print) -> str:
-    """Bring a source's cached file up to date: fresh, fetched, stale (the cached one is all there is) or missing."""
-    path = Path(folder, source.file)
-    if source.fresh(folder):
-        return "fresh"
-    if not urls:
-        return "stale" if path.exists() else "missing"
-
-    def cached() -> str:
-        return "stale" if path.exists() else "missing"
-
-    def write(body: bytes) -> None:
-        path.parent.mkdir(parents=True, exist_ok=True)
-        part = path.with_name(f"{path.name}.part")
-        part.write_bytes(body)
-        part.replace(path)
-
-    live = lambda: first_that_answers(lambda url: with_retries(lambda u: ask(u, headers or {}), url, sleep), urls)
-    got = live_or_cached(live, cached, write, lambda x: warn(f"{source.id}: {x}"))
-    return got if isinstance(got, str) else "fetched"
+        return e.code, dict(e.headers), e.read()

@@ -40,12 +40,22 @@ def openrouter(df: DataFrame) -> DataFrame:
 
 
 def lmarena(df: DataFrame) -> DataFrame:
-    """Ratings by (name, organisation) over all arenas; text fills two metrics, search and document one by their maximum."""
+    """Ratings of a payload that holds all pages of all boards, or one page of the text board."""
     pages = "array<struct<rows: array<map<string,string>>>>"
     wrapped = F.from_json("value", f"configs map<string,{pages}>")["configs"]
     bare = F.create_map(F.lit("text"), F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), pages))
     x = df.select(F.explode(F.coalesce(wrapped, bare)).alias("config", "pages"))
-    x = x.select("config", F.posexplode("pages").alias("page", "p")).select("config", "page", F.posexplode("p.rows").alias("pos", "e"))
+    return arena(x.select("config", F.posexplode("pages").alias("page", "p")).select("config", "page", "p.rows"))
+
+
+def lmarena_boards(pages: DataFrame) -> DataFrame:
+    """lmarena() of (part, page, value) as the connector reads them, page by page: no payload is put together."""
+    return arena(pages.select(F.col("part").alias("config"), "page", F.from_json("value", "rows array<map<string,string>>")["rows"].alias("rows")))
+
+
+def arena(pages: DataFrame) -> DataFrame:
+    """Ratings by (name, organisation) over all boards (config, page, rows); text fills two metrics, search and document one by their maximum."""
+    x = pages.select("config", "page", F.posexplode("rows").alias("pos", "e"))
     # an entry is a row, or wraps one
     x = x.withColumn("r", F.coalesce(F.from_json(F.col("e")["row"], "map<string,string>"), "e"))
     r = lambda *keys: F.coalesce(*[F.col("r")[k] for k in keys])

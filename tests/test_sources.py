@@ -1,7 +1,6 @@
 """Each reader on a payload of its source's shape, fetching, and the states of sources."""
 
 import json
-import os
 import time
 
 import pytest
@@ -107,23 +106,20 @@ def test_states_and_secrets(spark, tmp_path, monkeypatch):
     assert states == {"gso": "ok", "sonar": "missing"} and rows.count() == 1
 
 
-def test_fetching(tmp_path):
+def test_fetching():
     waits, asked = [], []
 
-    def ask(url, headers):
+    def ask(url):
         asked.append(url)
         if "busy" in url and len(asked) < 3:
             return 429, {"Retry-After": "7"}, b""
         return (404, {}, b"") if "gone" in url else (200, {}, b"body")
 
-    source = registry.SOURCES[0]
-    assert fetch.refresh(source, str(tmp_path), ["http://gone", "http://busy"], ask=ask, sleep=waits.append) == "fetched"
-    assert (tmp_path / source.file).read_bytes() == b"body" and waits == [7.0] and asked == ["http://gone", "http://busy", "http://busy"]
-    assert fetch.refresh(source, str(tmp_path), ["http://busy"], ask=ask) == "fresh"
-    os.utime(tmp_path / source.file, (1, 1))
-    warned = []
-    assert fetch.refresh(source, str(tmp_path), ["http://gone"], ask=ask, sleep=waits.append, warn=warned.append) == "stale" and warned
+    get = lambda url: fetch.with_retries(ask, url, waits.append)
+    assert fetch.first_that_answers(get, ["http://gone", "http://busy"]) == b"body"
+    assert waits == [7.0] and asked == ["http://gone", "http://busy", "http://busy"]
+    with pytest.raises(fetch.FetchError, match="404"):
+        fetch.first_that_answers(get, ["http://gone"])
     with pytest.raises(fetch.FetchError):
         fetch.with_retries(lambda u: (503, {}, b""), "http://x", waits.append)
     assert waits[1:] == [0.5, 1, 2, 4, 8, 16]
-    assert list(fetch.pages(lambda at, n: (list(range(at, min(at + n, 250))), 250))) == [list(range(100)), list(range(100, 200)), list(range(200, 250))]
