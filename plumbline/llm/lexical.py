@@ -7,10 +7,12 @@ impacts of its terms there. The best ``k`` are found in three phases.
 
 1. Each list gives its head, its ``k`` greatest impacts. The k-th greatest partial
    sum of an item is a lower bound of its k-th score.
-2. Every list of an item is read down to one threshold, the bound over the
-   number of lists. Partial sums raise the bound; a document whose sum, with just
-   under the threshold for each list that hasn't shown it, stays below it is out.
-3. The exact scores of the candidates are looked up in all lists, and ranked.
+2. Every list of an item is read down to one threshold, the greatest at which a
+   document that no list shows can't reach the bound. The sums of what is read
+   raise the bound; a document whose sum, with the most that each list can add
+   that hasn't shown it, stays below it is out.
+3. The exact scores of the candidates: what the lists hold of them below the
+   threshold is looked up and added.
 
 No document is passed over that could be among the best; ties stand in the
 order of doc_id. Arithmetic is that of whole numbers, but for the logarithm.
@@ -25,13 +27,14 @@ columns are never looked at, whatever their names.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import add_columns, cut, named, raw, small
+from plumbline.llm.common import add_columns, cut, named, raw, small, tables
 from plumbline.llm.decontaminate import FOLD
 
 #: Best documents of an item; documents in a slice of a list.
@@ -59,7 +62,7 @@ def counted(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return add_columns(df, text, make, "n_terms long, terms array<struct<name: string, tf: long>>", keep)
 
 
-def postings(df: DataFrame, wanted: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+def postings(df: DataFrame, wanted: DataFrame, text: str, id_col: str, written: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(term, doc, n, tf) of the ``wanted`` (name, term); (doc, doc_id, n) of all rows."""
     docs = df.select(named(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("doc"), named(text).alias("text"))
     each = counted(docs, "text", ["doc_id", "doc"])
@@ -67,7 +70,7 @@ def postings(df: DataFrame, wanted: DataFrame, text: str, id_col: str) -> tuple[
     own = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("tf")))
     rows = each.select("doc_id", "doc", F.col("n_terms").alias("n"), F.inline(F.concat(F.col("terms"), own)))
     known = rows.join(small(wanted.withColumnRenamed("name", "wanted")), F.col("name") == F.col("wanted"), "left").filter("name is null or term is not null")
-    kept = cut(known.select("term", "doc", F.when(F.col("name").isNull(), F.col("doc_id")).alias("doc_id"), "n", "tf"))
+    kept = written(known.select("term", "doc", F.when(F.col("name").isNull(), F.col("doc_id")).alias("doc_id"), "n", "tf"))
     return kept.filter("term is not null").select("term", "doc", "n", "tf"), kept.filter("term is null").select("doc", "doc_id", "n")
 
 
@@ -89,33 +92,56 @@ def kth(sums: DataFrame, k: int) -> DataFrame:
     return best.groupBy("item").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0).cast("long").alias("bound"))
 
 
-def tput(lists: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def thresholds(lengths: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(item, term, cap, unseen): the greatest threshold of all lists of an item at which a document that none shows stays below the item's bound.
+
+    ``lengths``: (item, term, most), the greatest impact of each list. Such a
+    document has min(threshold, most) of each list at most. Lists that lie below
+    the threshold as a whole leave more to the others, so it follows from running
+    sums in the order of ``most``: it rises while lists lie below it.
+    """
+    by_item = Window.partitionBy("item")
+    before = by_item.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, -1)
+    ruled = lengths.join(bounds, "item").withColumn("below", F.coalesce(F.sum("most").over(before), F.lit(0))).withColumn("left", F.count("*").over(by_item) - F.row_number().over(by_item.orderBy("most", "term")) + 1)
+    level = div(F.greatest(F.col("bound") - 1 - F.col("below"), F.lit(0).cast("long")), F.col("left"))
+    ruled = ruled.withColumn("unseen", F.max(level).over(by_item))
+    return ruled.select("item", "term", F.least("unseen", "most").alias("cap"), "unseen")
+
+
+def tput(lists: DataFrame, asked: DataFrame, k: int, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(item, doc, score) of all that can be among the best ``k`` of an item; ``lists``: (term, doc, impact), ``asked``: (item, term)."""
     asked = cut(asked.join(lists.select("term").distinct(), "term", "left_semi"))
-    heads = lists.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "doc"))).filter(F.col("place") <= k)
+    heads = cut(lists.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact"), "doc"))).filter(F.col("place") <= k))
     first = heads.join(small(asked), "term").groupBy("item", "doc").agg(F.sum("impact").alias("score"))
-    bounds = kth(first, k)
-    # lists are read down to impact * m >= bound; what isn't shown has (bound - 1) div m at most
-    ruled = asked.groupBy("item").agg(F.count("*").alias("m")).join(bounds, "item").select("item", "m", div(F.greatest(F.col("bound") - 1, F.lit(0).cast("long")), F.col("m")).alias("unseen"))
-    ruled = cut(ruled)
-    levels = small(cut(asked.join(ruled, "item").select("item", "term", "unseen")))
-    shown = lists.join(levels, "term").filter(F.col("impact") > F.col("unseen"))
-    partial = cut(shown.groupBy("item", "doc").agg(F.sum("impact").alias("score"), F.count("*").alias("seen")))
-    raised = small(cut(kth(partial, k).join(ruled, "item")))
-    candidates = partial.join(raised, "item").filter(F.col("score") + (F.col("m") - F.col("seen")) * F.col("unseen") >= F.col("bound")).select("item", "doc")
-    return candidates.join(small(asked), "item").join(lists, ["term", "doc"]).groupBy("item", "doc").agg(F.sum("impact").alias("score"))
+    bounds = cut(kth(first, k))
+    lengths = asked.join(small(heads.filter("place = 1").select("term", F.col("impact").alias("most"))), "term")
+    ruled = cut(thresholds(lengths, bounds))
+    levels = small(ruled)
+    # rows go to their documents once, however many items read them, and are summed there
+    lowest = small(cut(ruled.groupBy("term").agg(F.min("unseen").alias("lowest"))))
+    read = lists.join(lowest, "term").filter("impact > lowest").select("term", "doc", "impact").repartition("doc")
+    shown = read.join(levels, "term").filter("impact > unseen")
+    partial = written(shown.groupBy("item", "doc").agg(F.sum("impact").alias("score"), F.sum("cap").alias("shown")))
+    caps = ruled.groupBy("item").agg(F.sum("cap").alias("caps"))
+    rest = small(cut(caps.join(kth(partial, k), "item")))
+    candidates = written(partial.join(rest, "item").filter("score + caps - shown >= bound").select("item", "doc", "score"))
+    # of the candidates what the lists hold below the threshold
+    more = lists.join(levels, "term").filter("impact <= unseen").select("item", "doc", F.col("impact").alias("score"))
+    more = more.join(candidates.select("item", "doc"), ["item", "doc"], "left_semi")
+    return candidates.unionByName(more).groupBy("item", "doc").agg(F.sum("score").alias("score"))
 
 
 def search(df: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", k: int = BEST) -> DataFrame:
-    """(item_id, rank, doc_id, score): the best ``k`` rows of ``df`` for each item."""
+    """(item_id, rank, doc_id, score): the best ``k`` rows of ``df`` for each item. Runs its jobs, and keeps the result alone."""
     words = counted(items.select(named(item_id).alias("item_id"), named(item_text).alias("text")), "text", ["item_id"])
     given = cut(words.select("item_id", F.explode("terms.name").alias("name")).distinct())
     ids = cut(given.select(F.col("item_id").alias("same")).distinct().withColumn("item", F.monotonically_increasing_id()))
     wanted = cut(given.select("name").distinct().withColumn("term", F.monotonically_increasing_id()))
     asked = given.join(ids, F.col("item_id").eqNullSafe(F.col("same"))).join(wanted, "name").select("item", "term")
-    lists, docs = postings(df, wanted, text, id_col)
-    sums = docs.filter("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    scored = tput(cut(weighted(lists, sums.docs, sums.terms)), asked, k).join(docs.select("doc", "doc_id"), "doc")
-    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first(), "doc"))
-    best = scored.withColumn("rank", place).filter(F.col("rank") <= k)
-    return best.join(small(ids), "item").select(F.col("same").alias("item_id"), "rank", "doc_id", "score")
+    with tables(df.sparkSession) as written:
+        lists, docs = postings(df, wanted, text, id_col, written)
+        sums = docs.filter("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+        scored = tput(written(weighted(lists, sums.docs, sums.terms)), asked, k, written).join(docs.select("doc", "doc_id"), "doc")
+        place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first(), "doc"))
+        best = scored.withColumn("rank", place).filter(F.col("rank") <= k)
+        return cut(best.join(small(ids), "item").select(F.col("same").alias("item_id"), "rank", "doc_id", "score"))
