@@ -88,6 +88,11 @@ def above(nodes: Column, fanout: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / fanout).cast("int")), lambda i: F.sha2(F.array_join(F.slice(nodes, i * fanout + 1, fanout), "").cast("binary"), 256))
 
 
+def noted(nodes: Column, level: int, first: Column) -> Column:
+    """(level, index, hash) of an array of digests, of which the first has the index ``first``."""
+    return F.transform(nodes, lambda h, i: F.struct(F.lit(level).alias("level"), (first + i).alias("index"), h.alias("hash")))
+
+
 def trees(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """(tree, n, level, index, hash) of all nodes; ``leaves``: (tree, n, index, hash)."""
     block, now, done, base = fanout**levels, leaves.select("tree", "n", "index", "hash"), [], 0
@@ -100,13 +105,14 @@ def trees(leaves: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> Data
             more = above(F.col(f"l{k - 1}"), fanout)
             stacked = stacked.withColumn(f"l{k}", F.when(depth(F.col("n"), fanout) >= base + k, more).otherwise(F.array().cast("array<string>")))
         stacked = cut(stacked)
-        each = [stacked.select("tree", "n", F.lit(base + k).alias("level"), (F.col("block") * fanout ** (levels - k)).alias("from"), F.posexplode(f"l{k}").alias("at", "hash")) for k in range(levels + 1)]
-        each = [x.select("tree", "n", "level", (F.col("from") + F.col("at")).alias("index"), "hash") for x in each]
-        base += levels
-        if most <= base:
-            return reduce(DataFrame.unionByName, done + each)
+        last = most <= base + levels
         # the last level is the next round's first
-        done, now = done + each[:-1], each[-1].drop("level")
+        each = [noted(F.col(f"l{k}"), base + k, F.col("block") * fanout ** (levels - k)) for k in range(levels + last)]
+        done.append(stacked.select("tree", "n", F.inline(F.concat(*each))))
+        if last:
+            return reduce(DataFrame.unionByName, done)
+        now = stacked.select("tree", "n", F.col("block").alias("index"), F.try_element_at(f"l{levels}", F.lit(1)).alias("hash")).filter("hash is not null")
+        base += levels
 
 
 def siblings(index: Column, n: Column, level: Column, fanout: int) -> Column:
