@@ -18,6 +18,7 @@ from plumbline.operators.normalize import as_score, normalize, population
 from plumbline.plans import base as b
 from plumbline.plans.base import micro_sql, table
 from plumbline.plans.config import Config
+from plumbline.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -641,6 +642,31 @@ def incident_health(spark, sf):
     return e.groupBy("user_id").agg(history.worst(worst, canary).alias("health"))
 
 
+def news(spark, sf):
+    """Events as the stream takes them: errors are incidents, all else readings; views are of no suite."""
+    e, error = table(spark, sf, "events"), F.col("event_type") == "error"
+    return e.select(
+        F.col("user_id").cast("string").alias("key"),
+        F.when(error, "incident").otherwise("reading").alias("kind"),
+        F.when(error, F.col("event_id").cast("string")).otherwise(F.nullif("event_type", F.lit("view"))).alias("name"),
+        F.col("event_id").cast("long").alias("ord"),
+        F.when(error, history.incident_health(F.col("value"))).otherwise(F.col("value")).alias("value"),
+        (F.col("event_id") % 3 != 0).alias("open"),
+        F.lit(None).cast("timestamp").alias("ts"),
+    )
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, coalesce(arg_max(value, event_id) FILTER (WHERE event_type = 'purchase'), arg_max(value, event_id) FILTER (WHERE event_type = 'view')) AS value FROM events GROUP BY user_id")
+def stateful_latest_per_suite(spark, sf):
+    return stateful.newest_of(stateful.replayed(news(spark, sf), 4), "purchase").select("key", "value")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, least(min(CASE WHEN event_type = 'error' AND event_id % 3 <> 0 THEN least(greatest(100.0e0 - value, 0.0e0), 100.0e0) END), arg_max(CASE WHEN event_type = 'click' THEN value END, CASE WHEN event_type = 'click' THEN event_id END)) AS health FROM events GROUP BY user_id")
+def stateful_incident_health(spark, sf):
+    state = stateful.replayed(news(spark, sf), 4)
+    return state.select("key", history.worst(F.col("incident"), F.col("suites")["click"]).alias("health"))
+
+
 @query("SELECT user_id, max(value) FILTER (WHERE event_type IN ('view', 'click')) AS review, arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS last, arg_min(value, event_id) FILTER (WHERE event_type = 'purchase') AS first FROM events GROUP BY user_id")
 def max_merge(spark, sf):
     bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
