@@ -1,6 +1,7 @@
 """Free-text names onto a registry of entities: exact in tiers, then by containment.
 
-The registry is (entity, ord, vendor, display, aliases). Names are made
+A key is found inside longer ones by its rarest piece, so keys that all begin
+alike aren't all compared. The registry is (entity, ord, vendor, display, aliases). Names are made
 distinct first, so that a name is matched once however many rows bear it.
 """
 
@@ -14,7 +15,7 @@ from plumbline.operators.cuts import cut
 
 #: Of matching by containment: score of equality, of the vendor, and the least score (fixed values).
 EQUAL, VENDOR, LEAST = 100, 20, 12
-#: Letters of the pieces by which contained keys find each other.
+#: Letters of the pieces by which keys are found inside others.
 GRAM = 4
 
 
@@ -54,28 +55,37 @@ def grams(key: Column, size: int = GRAM) -> Column:
     return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(key, i, F.lit(size)))))
 
 
-def pieces(key: Column, inside: str, around: str) -> Column:
-    """(way, piece): the first letters of a key, by which it is found inside others, and all runs of up to GRAM letters, by which it is found around others."""
-    way = lambda name, pieces: F.transform(pieces, lambda p: F.struct(F.lit(name).alias("way"), p.alias("piece")))
-    return F.concat(way(inside, F.array(F.substring(key, 1, GRAM))), *[way(around, grams(key, size)) for size in range(1, GRAM + 1)])
+def own_pieces(key: Column) -> Column:
+    """The pieces by which a key is looked up inside longer ones: runs of GRAM letters, or all of a shorter key."""
+    return F.when(F.length(key) < GRAM, F.array(key)).otherwise(grams(key))
 
 
-def fuzzy(names: DataFrame, keys: DataFrame) -> DataFrame:
-    """(name, hint, entity, score) of names one of whose keys contains the other.
+def candidates_of(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(short, long): each key of ``short`` with the keys of ``long`` that hold its rarest piece; both have one column of distinct keys.
 
-    Of keys that contain each other the first letters of the shorter one are
-    among the pieces of the longer, so candidates come from one equality join on
-    pieces: whichever is the shorter, and however short.
+    Pieces of ``long`` are an inverted index with the number of keys that hold
+    each. A key one of whose pieces is in none of them is in none of them either.
     """
+    index = long.toDF("long").select("long", F.explode(F.concat(*[grams(F.col("long"), size) for size in range(1, GRAM + 1)])).alias("piece"))
+    held = index.groupBy("piece").agg(F.count("*").alias("n"))
+    asked = short.toDF("short").select("short", F.explode(own_pieces(F.col("short"))).alias("piece")).join(held, "piece", "left")
+    rarest = asked.groupBy("short").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"), F.bool_and(F.col("n").isNotNull()).alias("everywhere"))
+    return rarest.filter("everywhere").join(index, "piece").select("short", "long")
+
+
+def fuzzy(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(name, hint, entity, score) of names one of whose keys contains the other, whichever is the shorter, and however short."""
     own = names.withColumn("compact", compact_key(F.col("name"))).filter("compact <> ''").withColumn("hint_norm", normalize_name(F.coalesce("hint", F.lit(""))))
     listed = keys.filter("compact <> ''").select("entity", "ord", "key_ord", F.col("compact").alias("alias"), normalize_name(F.coalesce("vendor", F.lit(""))).alias("vendor_norm")).dropDuplicates(["entity", "alias"])
-    left = own.select("*", F.inline(pieces(F.col("compact"), "name in alias", "alias in name")))
-    right = listed.select("*", F.inline(pieces(F.col("alias"), "alias in name", "name in alias")))
-    contained = F.when(F.col("way") == "name in alias", F.col("alias").contains(F.col("compact"))).otherwise(F.col("compact").contains(F.col("alias")))
+    own, listed = cut(own), cut(listed)
+    ours, theirs = own.select("compact").distinct(), listed.select("alias").distinct()
+    inside = candidates_of(theirs, ours).filter(F.col("long").contains(F.col("short"))).toDF("alias", "compact")
+    around = candidates_of(ours, theirs).filter(F.col("long").contains(F.col("short"))).toDF("compact", "alias")
+    pairs = inside.unionByName(around).distinct()
     bonus = F.when((F.col("hint_norm") != "") & (F.col("hint_norm") == F.col("vendor_norm")), VENDOR).otherwise(0)
     score = F.when(F.col("alias") == F.col("compact"), EQUAL).otherwise(F.least(F.length("alias"), F.length("compact"))) + bonus
     need = F.greatest(F.lit(LEAST), F.floor(F.length("compact") / 2).cast("int"))
-    scored = left.join(right, ["way", "piece"]).filter(contained).withColumn("score", score).filter(F.col("score") >= need)
+    scored = own.join(pairs, "compact").join(listed, "alias").withColumn("score", score).filter(F.col("score") >= need)
     best = scored.groupBy("name", "hint").agg(F.min_by(F.struct("entity", "score"), F.struct((-F.col("score")).alias("s"), "ord", "key_ord")).alias("b"))
     return best.select("name", "hint", "b.entity", "b.score")
 
