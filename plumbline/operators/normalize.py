@@ -1,18 +1,17 @@
 """Raw values of many metrics to scores of 0 to 100, relative to each metric's population.
 
 Cells are long: one row for each (entity, metric), with ``raw``, ``is_synth``
-and ``is_override``. Exact percentiles come from places in each metric's order,
-range by range; they return to the cells by a join on the metric.
+and ``is_override``. Exact percentiles are selected from counts of values; they
+return to the cells by a join on the metric.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import clamp, finite
-from plumbline.operators.cuts import cut
-from plumbline.operators.rank import placed
+from plumbline.operators.cuts import cut, small
 
 # The curves.
 TINY = 1e-12
@@ -26,6 +25,8 @@ BEND, BEND_SCORE = 0.20, 70.0
 LEAST_DIRECT = 2
 # End of the fixed values.
 NEUTRAL = 50.0
+#: Accuracy of the percentiles that bracket exact ones, and the half width of a bracket.
+ACCURACY, SLACK = 2_000, 0.002
 
 
 def between(x: Column, low: Column, high: Column) -> Column:
@@ -61,23 +62,50 @@ def mapped(x: Column, log_scale: Column) -> Column:
     return F.when(log_scale & (x > 0), F.ln(F.when(x > 0, x))).when(~log_scale, x)
 
 
-def order_statistics(values: DataFrame, key: str, value: str, points: tuple[float, ...]) -> DataFrame:
-    """(key, p, least, most, n): exact percentiles of the values of each key, between neighbours in proportion.
+def picked(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(k, i, x_low, x_high): the values at two places of the values (k, x) of a key, NULL where these aren't within lo..hi.
 
-    Values get their places range by range, and only those at wanted places are
-    gathered, so no key's values meet in one task or one buffer.
+    ``bounds``: (k, i, low, high, lo, hi), places from 0 on. Of values outside only the number is kept.
     """
-    x = placed(values, key, value, [], down=False)
-    at = [F.lit(q) * (F.col("total") - 1) for q in points]
-    low = [F.max(F.when(F.col("place") == F.floor(p) + 1, F.col(value))) for p in at]
-    high = [F.max(F.when(F.col("place") == F.ceil(p) + 1, F.col(value))) for p in at]
-    ends = x.groupBy(key).agg(*[c.alias(f"low{i}") for i, c in enumerate(low)], *[c.alias(f"high{i}") for i, c in enumerate(high)], F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+    side = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
+    met = rows.join(small(bounds), "k").select("k", "i", "low", "high", side.alias("side"), F.when(side == 0, F.col("x")).alias("x"))
+    counted = met.groupBy("k", "i", "low", "high", "side", "x").agg(F.count("*").alias("times"))
+    run = F.sum("times").over(Window.partitionBy("k", "i").orderBy("side", "x").rowsBetween(Window.unboundedPreceding, 0))
+    # the first value whose running count passes a place stands at it
+    passed = lambda at: F.min_by("x", F.when(F.col("run") > F.col(at), F.col("run")))
+    return counted.withColumn("run", run).groupBy("k", "i").agg(passed("low").alias("x_low"), passed("high").alias("x_high"))
+
 
-    def point(i: int, q: float) -> Column:
-        p, lo, hi = F.lit(q) * (F.col("n") - 1), F.col(f"low{i}"), F.col(f"high{i}")
-        return F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi)
+def order_statistics(values: DataFrame, key: str, value: str, points: tuple[float, ...]) -> DataFrame:
+    """(key, p, least, most, n): exact percentiles of the values of each key, between neighbours in proportion.
 
-    return ends.select(key, F.array(*[point(i, q) for i, q in enumerate(points)]).alias("p"), "least", "most", "n")
+    No values are sorted or shuffled as rows. Approximate percentiles give each
+    wanted place a bracket of values; values below it are counted, those within
+    it are counted each. So many equal values are one row, and a place is read
+    off the counts of a small part of the values. A place that its bracket misses
+    is looked for in all values of its key, so percentiles are exact whatever the
+    approximation is worth.
+    """
+    rows = values.select(F.col(key).alias("k"), F.col(value).alias("x")).filter("x is not null")
+    around = sorted({min(max(q + d * SLACK, 0.0), 1.0) for q in points for d in (-1, 1)})
+    first = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", around, ACCURACY).alias("a"))
+    place = lambda q, up: (F.ceil if up else F.floor)(F.lit(q) * (F.col("n") - 1)).cast("long")
+    edge = lambda q, d: F.col("a")[around.index(min(max(q + d * SLACK, 0.0), 1.0))]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), place(q, False).alias("low"), place(q, True).alias("high"), edge(q, -1).alias("lo"), edge(q, 1).alias("hi")) for i, q in enumerate(points)])
+    bounds = cut(first.select("k", "n", "least", "most", F.explode(wanted).alias("w")).select("k", "n", "least", "most", "w.*"))
+    found = cut(picked(rows, bounds))
+    missed = found.filter("x_low is null or x_high is null").select("k", "i")
+    if not missed.isEmpty():
+        every = bounds.join(missed, ["k", "i"]).withColumn("lo", F.col("least")).withColumn("hi", F.col("most"))
+        found = found.filter("x_low is not null and x_high is not null").unionByName(picked(rows, every))
+
+    def point(q: Column) -> Column:
+        at, lo, hi = q * (F.col("n") - 1), F.col("x_low"), F.col("x_high")
+        return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    each = bounds.join(found, ["k", "i"]).withColumn("q", F.element_at(F.array(*map(F.lit, points)), F.col("i") + 1))
+    together = each.groupBy("k", "n", "least", "most").agg(F.array_sort(F.collect_list(F.struct("i", point(F.col("q")).alias("p")))).alias("p"))
+    return together.select(F.col("k").alias(key), F.col("p.p").alias("p"), "least", "most", "n")
 
 
 def population(cells: DataFrame, defs: DataFrame) -> DataFrame:

@@ -8,29 +8,29 @@ from pyspark.sql import functions as F
 from plumbline.functions.values import change
 from plumbline.operators.cuts import cut
 
-#: Ranges of the values of a key that are numbered apart.
-RANGES = 64
+
+def dealt(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``df`` in ranges of about as many rows, by the key and the whole order at once, and the number of each row's ``__range``."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, F.col(key), *order).withColumn("__range", F.spark_partition_id()))
 
 
 def placed(df: DataFrame, key: str, value: str, ties: list[str], down: bool = True) -> DataFrame:
     """Add place, from 1 on, and total, for each key.
 
-    No key is in one task: its values are cut into RANGES of about as many rows
-    at approximate quantiles, ranges are counted, and rows are numbered within
-    each range behind those of the ranges before. Equal values share a range.
+    Rows are dealt in ranges of about as many rows, by key, value and ties at
+    once, so neither a key nor a value that most rows share is in one task, if
+    ties tell its rows apart. Ranges of a key are counted, and rows numbered
+    within each behind those of the ranges before.
     """
-    rows = cut(df)
-    points = [k / RANGES for k in range(1, RANGES)]
-    bounds = rows.groupBy(F.col(key).alias("__key")).agg(F.percentile_approx(value, points, 1000).alias("__bounds"))
     x = F.col(value)
-    ahead = F.size(F.filter("__bounds", lambda b: b > x if down else b < x))
-    last = RANGES if down else -1  # of values that are missing, as Spark orders them
-    ranged = rows.join(bounds, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__range", F.when(x.isNull() | F.col("__bounds").isNull(), last).otherwise(ahead)).drop("__bounds", "__key")
+    order = [x.desc() if down else x.asc(), *[F.col(t) for t in ties]]
+    ranged = dealt(df, key, order)
     counts = ranged.groupBy(F.col(key).alias("__key"), F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))
     by_key = Window.partitionBy("__key")
     before = F.sum("__n").over(by_key.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("__key", "__of", F.coalesce(before, F.lit(0)).alias("__start"), F.sum("__n").over(by_key).alias("total"))
-    within = Window.partitionBy(key, "__range").orderBy(x.desc() if down else x.asc(), *ties)
+    within = Window.partitionBy("__range", key).orderBy(*order)
     numbered = ranged.withColumn("place", F.row_number().over(within).cast("long"))
     back = numbered.join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__of")))
     return back.withColumn("place", F.col("place") + F.col("__start")).drop("__key", "__of", "__start", "__range")
