@@ -774,6 +774,37 @@ def balanced_array(spark, sf):
     return table(spark, sf, "events").select("event_id", t.unescape_once(items_array(page)).alias("found"))
 
 
+@query("SELECT 'm' || c_custkey AS model_name, row_number() OVER (ORDER BY 'm' || c_custkey) - 1 AS seq, c_acctbal + CASE WHEN c_custkey % 2 = 0 THEN 1.0e0 ELSE 0.0e0 END AS score FROM customer")
+def escaped_items(spark, sf):
+    """A page for each nation with an escaped array of items, tools before text; names with brackets in other pages don't end them."""
+    from plumbline.sources.html_sources import swerebench
+
+    key, rate = F.col("c_custkey").cast("string"), F.col("c_acctbal")
+    item = lambda agent, x: F.struct(F.concat(F.lit("m"), key).alias("modelName"), F.lit(agent).alias("agentVersion"), F.lit("]a[").alias("note"), F.struct(F.lit(1).alias("from"), F.col("c_custkey").alias("to")).alias("taskRangeTimestamp"), F.create_map(F.concat(F.lit("1:"), key), F.struct(x.alias("resolvedRate"))).alias("rangeStats"))
+    both = F.when(F.col("c_custkey") % 2 == 0, F.array(item("text", rate), item("tools", rate + 1.0))).otherwise(F.array(item("text", rate)))
+    pages = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.to_json(F.flatten(F.collect_list(both))).alias("items"))
+    html = F.concat(F.lit('<p>[ \\"items\\":'), F.replace("items", F.lit('"'), F.lit('\\"')), F.lit(", []] </p>"))
+    rows = swerebench(pages.select(html.alias("value")))
+    return rows.select("model_name", "seq", F.col("fields")["SWERebench"].cast("double").alias("score"))
+
+
+@query("""
+    WITH x AS (SELECT 'm' || o_custkey AS model_name, o_orderpriority AS vendor_hint, o_orderkey AS k, o_totalprice AS rating, ['text', 'webdev', 'search', 'document'][o_orderkey % 4 + 1] AS board FROM orders WHERE o_orderstatus <> 'P')
+    SELECT model_name, vendor_hint, arg_max(rating, k) FILTER (WHERE board = 'text') AS text, arg_min(rating, k) FILTER (WHERE board = 'text') AS creative,
+           arg_max(rating, k) FILTER (WHERE board = 'webdev') AS code, max(rating) FILTER (WHERE board IN ('search', 'document')) AS review
+    FROM x GROUP BY model_name, vendor_hint""")
+def arena_boards(spark, sf):
+    """Boards read page by page, as the connector gives them: (part, page, value)."""
+    from plumbline.sources.json_sources import lmarena_boards
+
+    row = F.struct(F.struct(F.concat(F.lit("m"), F.col("o_custkey")).alias("model_name"), F.col("o_orderpriority").alias("organization"), F.col("o_totalprice").alias("rating"), F.when(F.col("o_orderstatus") == "P", "coding").otherwise("overall").alias("category")).alias("row"))
+    board = F.element_at(F.array(*map(F.lit, ("text", "webdev", "search", "document"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), row.alias("r")))), lambda x: x["r"])
+    pages = table(spark, sf, "orders").groupBy(board.alias("part"), F.expr("o_orderkey div 400").alias("page")).agg(F.to_json(F.struct(listed.alias("rows"))).alias("value"))
+    f = lambda name: F.col("fields")[name].cast("double")
+    return lmarena_boards(pages).select("model_name", "vendor_hint", f("LMArenaText").alias("text"), f("LMArenaCreativeOrOpenEnded").alias("creative"), f("CopilotArenaOrLMArenaCode").alias("code"), f("LMArenaSearchDocument").alias("review"))
+
+
 @query("SELECT event_type AS name, arg_min(value, event_id) AS score FROM events WHERE event_id % 3 <> 0 GROUP BY event_type")
 def scored_pairs(spark, sf):
     """The nearest score behind each name, unless its object closes before; the first of a name."""

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 import tomllib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import cell_text, parse_accuracy, unescape_once
-from plumbline.functions.values import finite, number_like
+from plumbline.functions.values import finite, number_like, once
 from plumbline.operators.arbitrate import pick_first
 from plumbline.sources.rows import SCHEMA, PayloadError, some, to_rows
 
@@ -21,38 +20,39 @@ AGENTS = (("tools", 2), ("text", 1))
 # End of the fixed values.
 
 
-def balanced(html: str, anchor: str = ITEMS) -> str | None:
-    r"""The array behind ``anchor``, up to its closing bracket; ``\"`` opens and closes texts, whose brackets don't count."""
-    at = html.find(anchor)
-    if at < 0:
-        return None
-    start = i = at + len(anchor) - 1
-    depth, inside = 0, False
-    while i < len(html):
-        if html.startswith('\\"', i):
-            inside, i = not inside, i + 2
-            continue
-        if not inside and html[i] in "[]":
-            depth += 1 if html[i] == "[" else -1
-            if not depth:
-                return html[start : i + 1]
-        i += 1
-    return None
+#: What decides where an array in escaped text ends.
+MARKS = r'\\"|[\[\]]'
 
 
-def balanced_all(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: balanced(x) if x is not None else None)
+def items_array(html: Column, anchor: str = ITEMS) -> Column:
+    r"""The array behind ``anchor``, up to its closing bracket, else NULL; brackets within texts, which ``\"`` opens and closes, don't count.
 
+    Marks are taken out in order and followed with the depth that each leaves;
+    the array is what stands up to the mark that leaves none.
+    """
+    tail = F.when(html.contains(anchor), F.substring(html, F.locate(anchor, html) + len(anchor) - 1, F.length(html)))
 
-def items_array(html) -> Column:
-    """balanced() of a column."""
-    return F.pandas_udf(balanced_all, "string")(html)
+    def after(state: Column, mark: Column) -> Column:
+        quote = mark == '\\"'
+        step = F.when(quote | state["text"], 0).when(mark == "[", 1).otherwise(-1)
+        moved = F.struct((state["marks"] + 1).alias("marks"), (state["depth"] + step).alias("depth"), (state["text"] != quote).alias("text"))
+        return F.when(state["depth"] == 0, state).otherwise(moved)
+
+    def cut_off(text: Column) -> Column:
+        marks, between = F.regexp_extract_all(text, F.lit(f"({MARKS})"), F.lit(1)), F.split(text, MARKS)
+        # the first mark is the opening bracket itself
+        start = F.struct(F.lit(1).alias("marks"), F.lit(1).alias("depth"), F.lit(False).alias("text"))
+        end = F.aggregate(F.slice(marks, 2, F.greatest(F.size(marks) - 1, F.lit(0))), start, after)
+        whole = lambda n: F.array_join(F.zip_with(F.slice(between, 1, n), F.slice(marks, 1, n), lambda a, b: F.concat(a, b)), "")
+        return once(end, lambda e: F.when(e["depth"] == 0, whole(e["marks"])))
+
+    return once(tail, cut_off)
 
 
 def swerebench(df: DataFrame) -> DataFrame:
     """Headline rates from an escaped array in a page; a model's agentic run stands before its plain one."""
     schema = "array<struct<modelName: string, agentVersion: string, taskRangeTimestamp: struct<from: bigint, to: bigint>, rangeStats: map<string,struct<resolvedRate: double>>>>"
-    x = df.select(F.posexplode(F.from_json(unescape_once(items_array("value")), schema)).alias("pos", "i"))
+    x = df.select(F.posexplode(F.from_json(unescape_once(items_array(F.col("value"))), schema)).alias("pos", "i"))
     key = F.concat_ws(":", F.col("i.taskRangeTimestamp.from").cast("string"), F.col("i.taskRangeTimestamp.to").cast("string"))
     priority = F.lit(0)
     for agent, p in AGENTS:

@@ -66,6 +66,15 @@ def test_livecodebench_gso_sonar_arc(spark):
     assert read(spark, json_sources.arc_agi, arc) == [("X One", None, {"ARC_AGI_2": 25}), ("y", None, {"ARC_AGI_2": 50})]
 
 
+def test_arrays_in_escaped_text(spark):
+    from pyspark.sql import functions as F
+
+    pages = ['x\\"items\\":[1,[2],\\"]\\"] y]', 'x\\"items\\":[1', None, "none", '\\"items\\":[]x', '\\"items\\":[' + ',[\\"a]\\"]' * 50_000 + "] tail]"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = {r.i: r.found for r in df.select("i", html_sources.items_array(F.col("html")).alias("found")).collect()}
+    assert got == {0: '[1,[2],\\"]\\"]', 1: None, 2: None, 3: None, 4: "[]", 5: pages[5][len('\\"items\\":') : -len(" tail]")]}
+
+
 def test_pages(spark):
     pair = lambda m, s: rf'{{\"model\":\"{m}\",\"x\":1,\"score\":{s}}}'
     page = "<script>" + pair("A", 50.5) + "," + pair("B", 40) + "," + pair("A", 1) + "</script>"
