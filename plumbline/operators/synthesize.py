@@ -58,37 +58,51 @@ def synthesis_stats(emitting: DataFrame, kept: DataFrame, clones: DataFrame) ->
     return every.select("source_id", F.coalesce("n_clones", F.lit(0)).alias("n_clones"), F.coalesce("capped", F.lit(False)).alias("capped"))
 
 
+def joined_up(first: DataFrame, then: DataFrame, *more) -> DataFrame:
+    """Chains (start, donor, last, target) of ``first`` that go on as one of ``then``, whose pairs all come later."""
+    a, b = first.alias("a"), then.alias("b")
+    met = a.join(b, (F.col("a.target") == F.col("b.donor")) & (F.col("a.last") < F.col("b.start")))
+    return met.select("a.start", "a.donor", "b.last", "b.target", *more)
+
+
 def emissions(present: DataFrame, pairs: DataFrame, written) -> DataFrame:
     """(source_id, pair_idx, target, donor) of the pairs that find a donor at a source: a listed entity, or the target of an earlier such pair.
 
-    ``present``: (source_id, entity). Each round follows the pairs one step
-    further, so there are as many rounds as the longest chain has pairs.
+    ``present``: (source_id, entity). A pair does if a chain of ever later pairs
+    leads to it from a donor that the source lists. Which pair leads to which is
+    the same for all sources; chains are joined end to end, so that they double
+    from round to round.
     """
-    # since which pair a source has an entity; those that it lists, since before the first
-    since = written(present.select("source_id", "entity", F.lit(-1).cast("long").alias("since")))
-    while True:
-        found = written(pairs.join(since, F.col("donor") == F.col("entity")).filter("pair_idx > since").select("source_id", "pair_idx", "target", "donor"))
-        more = found.groupBy("source_id", F.col("target").alias("entity")).agg(F.min("pair_idx").alias("since"))
-        after = written(since.unionByName(more).groupBy("source_id", "entity").agg(F.min("since").alias("since")))
-        if after.join(since, ["source_id", "entity", "since"], "left_anti").isEmpty():
-            return found
-        since = after
+    chains = written(pairs.select(F.col("pair_idx").alias("start"), "donor", F.col("pair_idx").alias("last"), "target"))
+    n, before = chains.count(), -1
+    while n != before:
+        chains, before = written(chains.unionByName(joined_up(chains, chains)).distinct()), n
+        n = chains.count()
+    reached = present.join(chains, F.col("donor") == F.col("entity")).select("source_id", F.col("last").alias("pair_idx")).distinct()
+    return written(reached.join(pairs, "pair_idx").select("source_id", "pair_idx", "target", "donor"))
 
 
 def lineages(kept: DataFrame, present: DataFrame, written) -> DataFrame:
     """(source_id, pair_idx, target, donor, origin, trail): whose rows the clones of each kept pair go back to, by the pairs of ``trail``.
 
-    A donor gives the rows that it lists and the clones that earlier pairs gave it.
+    A donor gives the rows that it lists and the clones that earlier pairs gave
+    it. Chains of kept pairs double from round to round, each made once: of its
+    first half, which has the length of the round, and a rest of up to that. A
+    source keeps all pairs before its last one, so a chain is kept where its last
+    pair is.
     """
-    listed = present.select("source_id", F.col("entity").alias("donor"))
-    step = written(kept.join(listed, ["source_id", "donor"]).select("source_id", "pair_idx", "target", "donor", F.col("donor").alias("origin"), F.array().cast("array<bigint>").alias("trail")))
-    out = step
-    while not step.isEmpty():
-        given = step.select("source_id", F.col("target").alias("donor"), F.col("pair_idx").alias("via"), "origin", F.col("trail").alias("before"))
-        joined = kept.join(given, ["source_id", "donor"]).filter("pair_idx > via")
-        step = written(joined.select("source_id", "pair_idx", "target", "donor", "origin", F.concat(F.array("via"), F.col("before")).alias("trail")))
-        out = out.unionByName(step)
-    return out
+    pairs = kept.select("pair_idx", "target", "donor").distinct()
+    every = half = written(pairs.select(F.col("pair_idx").alias("start"), "donor", F.col("pair_idx").alias("last"), "target", F.array("pair_idx").alias("chain")))
+    length = 1
+    while True:
+        longer = written(joined_up(half, every, F.concat("a.chain", "b.chain").alias("chain")))
+        if longer.isEmpty():
+            break
+        length *= 2
+        every, half = every.unionByName(longer), longer.filter(F.size("chain") == length)
+    listed = present.join(every.withColumnRenamed("donor", "origin"), F.col("entity") == F.col("origin"))
+    trail = F.reverse(F.slice("chain", 1, F.size("chain") - 1))
+    return listed.select("source_id", F.col("last").alias("pair_idx"), "origin", trail.alias("trail")).join(kept, ["source_id", "pair_idx"]).select("source_id", "pair_idx", "target", "donor", "origin", "trail")
 
 
 def synthesize_chained(rows: DataFrame, pairs: DataFrame, registry: DataFrame, cap: float) -> DataFrame:
