@@ -105,7 +105,47 @@ QUERIES = {
         op13_merkle_manifest,
     )
 }
+#: Patterns of secrets, as SQL: name, pattern, group of the value.
+PATTERNS_SQL = [
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2),
+    ("access", "AKIA[A-Z0-9]+", 0),
+    ("hex", "[0-9a-f]+", 0),
+    ("owned", "[A-Za-z0-9+/_=-]{20,}", 0),
+]
+#: One table for each pattern: id, kind, value, a, z. A match starts where the gaps and matches before it end.
+MATCHES_SQL = ", ".join(
+    f"""{name} AS (
+            SELECT id, {kind} AS kind, value, (sum(length(gap) + length(w)) OVER (PARTITION BY id ORDER BY i) - length(w))::BIGINT AS a, (sum(length(gap) + length(w)) OVER (PARTITION BY id ORDER BY i))::BIGINT AS z
+            FROM (SELECT id, unnest(range(len(ws))) AS i, unnest(ws) AS w, unnest(vs) AS value, unnest(gaps[:len(ws)]) AS gap
+                  FROM (SELECT id, regexp_extract_all(text, '{pattern}') AS ws, regexp_extract_all(text, '{pattern}', {group}) AS vs, string_split_regex(text, '{pattern}') AS gaps FROM t))
+        )"""
+    for kind, (name, pattern, group) in enumerate(PATTERNS_SQL)
+)
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": rf"""
+        WITH t AS (
+            SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents
+        ), {MATCHES_SQL}, f AS (
+            SELECT * FROM assign WHERE length(value) >= 6 UNION ALL SELECT * FROM access WHERE length(value) >= 20 UNION ALL SELECT * FROM hex WHERE length(value) >= 24
+        ), o AS (
+            SELECT * FROM owned ANTI JOIN f ON owned.id = f.id AND owned.a < f.z AND f.a < owned.z
+            WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND list_aggregate(string_split(value, ''), 'entropy') >= 3.5e0
+        ), e AS (
+            SELECT x.*, source, sha256(text) AS repository FROM (SELECT * FROM f UNION ALL SELECT * FROM o) AS x JOIN t USING (id)
+        ), n AS (
+            SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners, count(*) AS repositories FROM (SELECT DISTINCT value, source, repository FROM e) GROUP BY value
+        ), j AS (
+            SELECT e.*, owners = 1 AND repositories <= 5 AS live, owners >= 3 AS copied, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || z AS shown FROM e JOIN n USING (value)
+        ), g AS (
+            SELECT id, string_agg(shown, ',' ORDER BY a, kind) FILTER (WHERE kind < 3) AS base, string_agg(shown, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR live) AS spans,
+                   count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+                   count(*) FILTER (WHERE kind < 3 AND live) AS n_live, count(*) FILTER (WHERE kind < 3 AND copied) AS n_copied, count(*) FILTER (WHERE kind < 3 AND NOT live AND NOT copied) AS n_shared
+            FROM j GROUP BY id
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+               coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(n_shared, 0) AS n_shared
+        FROM t LEFT JOIN g USING (id)
+    """,
     "op8_exact_dedup": """
         WITH t AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
