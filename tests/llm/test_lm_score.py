@@ -88,3 +88,40 @@ def test_words_of_a_bucket_have_their_own_probability(docs):
     assert len(got) == len(rows) + 1 and got == want
     done = {r.doc_id: r.log_likelihood for r in lm.score_corpus(df, keep=["doc_id"]).collect()}
     assert done[10] > -1e9 and done[11] - done[10] == pytest.approx(share(seldom) - share(often), abs=1e-4)
+
+
+def test_query_against_its_model_gathered(spark, monkeypatch):
+    """Every row of the query is the sum of its trained model's conditional log-probabilities, word by word, with shares from plain counts."""
+    from collections import Counter
+
+    from plumbline.llm import queries
+
+    kept, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda counts, *more: kept.append(train(counts, *more)) or kept[-1])
+    folder = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in queries.op2_pseudo_likelihood(spark, folder).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    fold = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    found = {d: x.translate(fold).split() for d, x in texts.items()}
+    n = Counter(w for x in found.values() for w in x)
+    words = sorted(n, key=lambda w: (-n[w], w))[: lm.WORDS]
+    place = {w: k for k, w in enumerate(words)}
+    class_of = lambda w: place[w] if w in place else lm.bucket(w)
+    total = Counter()
+    for w in n:
+        if w not in place:
+            total[lm.bucket(w)] += n[w] + 1
+    model, known = {k: v.astype(np.float64) for k, v in kept[0].items()}, {}
+
+    def log(left, word, right):
+        if (left, right) not in known:
+            z = lm.logits(model, lm.hidden(model, np.array([left]), np.array([right])))[0]
+            known[left, right] = z - z.max() - np.log(np.exp(z - z.max()).sum())
+        return known[left, right][word]
+
+    assert set(rows) == set(found)
+    for d, x in found.items():
+        c = [lm.EDGE, *map(class_of, x), lm.EDGE]
+        want = sum(log(c[i], c[i + 1], c[i + 2]) for i in range(len(x)))
+        want += sum(np.log((n[w] + 1) / (total[lm.bucket(w)] + 1)) for w in x if w not in place)
+        assert rows[d].n_words == len(x) and rows[d].log_likelihood == pytest.approx(want, rel=1e-4, abs=1e-2)
