@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as t
 from plumbline.functions import values as v
+from plumbline.functions import variants
 from plumbline.operators import arbitrate as arb
 from plumbline.operators import history, match, rank, score, synthesize, triage
 from plumbline.operators.aggregate import Band
@@ -697,8 +698,26 @@ def two_key_fallback(spark, sf):
 def path_coalesce(spark, sf):
     k = F.get_json_object("props", "$.k")
     text = F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, k).otherwise("none").alias("a"), F.struct(F.col("value").cast("string").alias("c")).alias("b")))
-    e = table(spark, sf, "events").select("event_id", F.from_json(text, "a string, b struct<c: string>").alias("j"))
-    return e.select("event_id", v.first_number(F.col("j.a"), F.col("j.b.c")).alias("x"))
+    e = table(spark, sf, "events").select("event_id", variants.parsed(text).alias("j"))
+    return e.select("event_id", variants.number_at(F.col("j"), ("a",), ("b", "c")).alias("x"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 1 THEN value WHEN 2 THEN user_id::DOUBLE END AS x FROM events")
+def present_key(spark, sf):
+    """The second key counts where the first is absent, not where it holds null."""
+    n = F.col("value").cast("string")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a@1": null, "b": '), n, F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"b": "'), n, F.lit('"}'))).otherwise(F.concat(F.lit('{"b": 1, "a@1": '), F.col("user_id").cast("string"), F.lit("}")))
+    found = variants.first_present(variants.parsed(text), "a@1", "b")
+    return table(spark, sf, "events").select("event_id", v.number_like(found.try_cast("string")).alias("x"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' WHEN 3 THEN 'null' WHEN 5 THEN 'true' END AS text FROM events")
+def value_text(spark, sf):
+    """Strings as they are, other values as JSON, nulls and absent ones apart."""
+    key = F.col("event_id") % 6
+    inner = F.when(key == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(key == 1, F.col("event_id").cast("string")).when(key == 2, F.col("props")).when(key == 3, "null").when(key == 5, "true")
+    text = F.coalesce(F.concat(F.lit('{"a": {"it\'s": '), inner, F.lit("}}")), F.lit("{}"))
+    return table(spark, sf, "events").select("event_id", variants.text_at(variants.parsed(text), "a", "it's").alias("text"))
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN value WHEN 1 THEN 1.0e0 WHEN 2 THEN 0.0e0 WHEN 3 THEN value END AS x FROM events")

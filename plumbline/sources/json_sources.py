@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import variants
 from plumbline.functions.text import extract_model, vendor_of_id
 from plumbline.functions.values import blended_cost, effort_priority, finite, first_number, json_number, mean_of_present, number_like, positive
 from plumbline.operators.arbitrate import pick_first
@@ -186,11 +187,11 @@ def livecodebench(df: DataFrame) -> DataFrame:
 
 def gso(df: DataFrame) -> DataFrame:
     """Of a name's Opt@1 rows the one of the lowest effort; the score that controls for hacks stands before the plain one."""
-    x = items(df, "models array<map<string,string>>", "models")
-    m = F.col("item")
+    x, m = variants.items(df, "models"), F.col("item")
     # a present null blocks the plain score
-    score = F.when(F.map_contains_key(m, "score_hack_control"), m["score_hack_control"]).otherwise(m["score"])
-    x = x.filter((F.lower(m["setting"]) == "opt@1") & m["name"].isNotNull()).select("pos", F.trim(m["name"]).alias("name"), finite(number_like(score)).alias("score"), effort_priority(m["reasoning_effort"]).alias("effort")).filter("score is not null")
+    score = number_like(variants.first_present(m, "score_hack_control", "score").try_cast("string"))
+    name = variants.at(m, "name").try_cast("string")
+    x = x.filter((F.lower(variants.at(m, "setting").try_cast("string")) == "opt@1") & name.isNotNull()).select("pos", F.trim(name).alias("name"), finite(score).alias("score"), effort_priority(variants.at(m, "reasoning_effort").try_cast("string")).alias("effort")).filter("score is not null")
     return to_rows(pick_first(x, ["name"], "effort", "pos"), "gso", F.col("name"), None, {"GSO": F.col("score")}, "name")
 
 
