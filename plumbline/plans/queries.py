@@ -824,6 +824,20 @@ def arena_boards(spark, sf):
     return lmarena_boards(pages).select("model_name", "vendor_hint", f("LMArenaText").alias("text"), f("LMArenaCreativeOrOpenEnded").alias("creative"), f("CopilotArenaOrLMArenaCode").alias("code"), f("LMArenaSearchDocument").alias("review"))
 
 
+@query("SELECT p_name || '& é' AS model_name, p_size / 2.0e0 AS score FROM part WHERE p_partkey % 5 <> 4")
+def table_cells(spark, sf):
+    """A page for each brand, whose rows have attributes in either order, markup and tables in cells, references, and too few cells."""
+    from plumbline.sources.html_sources import terminal_bench
+
+    cell = lambda inner: F.concat(F.when(F.col("p_partkey") % 2 == 0, '<td class="a" data-slot="table-cell">').otherwise("<td data-slot='table-cell' x>"), inner, F.lit("</td>"))
+    name = F.concat(F.lit("\n <b>"), "p_name", F.lit("</b><br>&amp;&nbsp;&#233; "))
+    inner = [F.lit(""), F.lit("<table><tr><td>no cell</td></tr></table>"), F.lit("agent"), name, F.lit("-"), F.lit("<i>x</i>"), F.lit("y")]
+    last = F.when(F.col("p_partkey") % 5 != 4, cell(F.concat((F.col("p_size") / 2).cast("string"), F.lit("% ± 1"))))
+    row = F.concat(F.lit('<tr id=1 data-slot="table-row">'), *map(cell, inner), F.coalesce(last, F.lit("")), F.lit("</tr>"))
+    pages = table(spark, sf, "part").groupBy("p_brand").agg(F.concat(F.lit('<table x data-slot="table"><thead><tr data-slot="table-row"></tr></thead><tbody>'), F.array_join(F.collect_list(row), ""), F.lit("</tbody></table>")).alias("value"))
+    return terminal_bench(pages).select("model_name", F.col("fields")["TerminalBench"].cast("double").alias("score"))
+
+
 @query("SELECT event_type AS name, arg_min(value, event_id) AS score FROM events WHERE event_id % 3 <> 0 GROUP BY event_type")
 def scored_pairs(spark, sf):
     """The nearest score behind each name, unless its object closes before; the first of a name."""

@@ -8,9 +8,10 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import cell_text, parse_accuracy, unescape_once
+from plumbline.functions.text import parse_accuracy, unescape_once
 from plumbline.functions.values import finite, number_like, once
 from plumbline.operators.arbitrate import pick_first
+from plumbline.sources.html_tables import table_rows
 from plumbline.sources.rows import SCHEMA, PayloadError, some, to_rows
 
 # How the pages mark what is read.
@@ -79,13 +80,8 @@ def swebench_pro(df: DataFrame) -> DataFrame:
 
 def terminal_bench(df: DataFrame) -> DataFrame:
     """Rows of a table's body with eight cells: the fourth is the name, the eighth the accuracy."""
-    tables = F.regexp_extract_all("value", F.lit(r'(?s)<table[^>]*data-slot="table"[^>]*>(.*?)</table>'), F.lit(1))
-    bodies = F.flatten(F.transform(tables, lambda t: F.regexp_extract_all(t, F.lit(r"(?s)<tbody[^>]*>(.*?)</tbody>"), F.lit(1))))
-    lines = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(r'(?s)<tr[^>]*data-slot="table-row"[^>]*>(.*?)</tr>'), F.lit(1))))
-    x = df.select(F.posexplode(lines).alias("pos", "tr"))
-    x = x.select("pos", F.regexp_extract_all("tr", F.lit(r'(?s)<td[^>]*data-slot="table-cell"[^>]*>(.*?)</td>'), F.lit(1)).alias("td")).filter(F.size("td") >= 8)
-    x = x.select("pos", cell_text(F.col("td")[3]).alias("name"), parse_accuracy(cell_text(F.col("td")[7])).alias("score")).filter("name <> '' and score is not null")
-    return to_rows(x, "terminal_bench", F.col("name"), None, {"TerminalBench": F.col("score")}, "pos")
+    x = table_rows(df).filter(F.size("cells") >= 8).select("line", F.col("cells")[3].alias("name"), parse_accuracy(F.col("cells")[7]).alias("score"))
+    return to_rows(x.filter("name <> '' and score is not null"), "terminal_bench", F.col("name"), None, {"TerminalBench": F.col("score")}, "line")
 
 
 def overrides_payload(df: DataFrame) -> DataFrame:

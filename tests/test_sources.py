@@ -66,6 +66,21 @@ def test_livecodebench_gso_sonar_arc(spark):
     assert read(spark, json_sources.arc_agi, arc) == [("X One", None, {"ARC_AGI_2": 25}), ("y", None, {"ARC_AGI_2": 50})]
 
 
+def test_table_rows(spark):
+    """Any order of attributes, nesting, references, elements that aren't closed; rows of heads and of other tables don't count."""
+    from plumbline.sources.html_tables import table_rows
+
+    tr, td = '<tr data-slot="table-row">', '<td data-slot="table-cell">'
+    pages = [
+        f"""<table data-slot="table"><thead>{tr}{td}head</td></tr></thead><tbody>{tr}<td class="x" data-slot='table-cell'>a &amp; <b>b</b>&nbsp; c</td>{td}2</td><td>other</td></tr><tr>{td}no row</td></tr></tbody></table>""",
+        f'<table>{tr}{td}no</td></tr></table><table data-slot="table">{tr}{td}one{td}two{tr}{td}three</table>',
+        f'<table data-slot="table"><tbody>{tr}{td}out <table><tbody>{tr}{td}in</td></tr></tbody></table> side</td></tr></tbody></table>',
+        None,
+    ]
+    df = spark.createDataFrame([(p,) for p in pages], "value string")
+    assert sorted(tuple(r.cells) for r in table_rows(df).collect()) == sorted([("a & b c", "2"), ("one", "two"), ("three",), ("out in side", "in"), ("in",)])
+
+
 def test_arrays_in_escaped_text(spark):
     from pyspark.sql import functions as F
 
