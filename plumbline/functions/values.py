@@ -125,4 +125,5 @@ def effort_priority(effort: Column) -> Column:
 
 def is_fresh(written: Column, now: Column, ttl_seconds) -> Column:
     """A cached payload may be used while it is younger than its time to live; one from the future may not."""
-    return (written <= now) & (F.unix_micros(now) - F.unix_micros(written) < F.lit(ttl_seconds * 1_000_000))
+    ttl = ttl_seconds if isinstance(ttl_seconds, Column) else F.lit(ttl_seconds)
+    return (written <= now) & (F.unix_micros(now) - F.unix_micros(written) < ttl * F.lit(1_000_000).cast("long"))

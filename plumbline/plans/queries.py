@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,13 @@ from plumbline.functions import variants
 from plumbline.operators import arbitrate as arb
 from plumbline.operators import history, match, rank, score, synthesize, triage
 from plumbline.operators.aggregate import Band
-from plumbline.operators.cuts import cut
+from plumbline.operators.cuts import cut, remove, shared_folder
 from plumbline.operators.effort import effort_class
 from plumbline.operators.normalize import as_score, normalize, population
 from plumbline.plans import base as b
 from plumbline.plans.base import micro_sql, table
 from plumbline.plans.config import Config
+from plumbline.sources import registry, snapshots
 from plumbline.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -750,9 +753,36 @@ def freshness_gate(spark, sf):
     return table(spark, sf, "events").select("event_id", v.is_fresh(F.col("ts").cast("timestamp"), F.lit("2024-01-15").cast("timestamp"), 2 * 86400).alias("fresh"))
 
 
+#: Time to live of each type of events as a source, in days, and the day on which their snapshots are read.
+DAYS, TODAY = {"click": 1, "purchase": 3, "error": 10, "view": 400, "nothing": 1}, "2024-01-20 00:00:00"
+
+
+@query(f"""
+    WITH s AS (SELECT unnest({list(DAYS)}) AS source_id, unnest({list(DAYS.values())}) AS ttl), e AS (SELECT event_type AS source_id, date_trunc('day', ts)::DATE AS day, value FROM events),
+         n AS (SELECT source_id, max(day) AS day FROM e WHERE day <= TIMESTAMP '{TODAY}' AND NOT (source_id = 'purchase' AND day > DATE '2024-01-12') GROUP BY source_id),
+         k AS (SELECT source_id, day, count(*) AS n, max(value) AS most FROM e GROUP BY ALL)
+    SELECT s.source_id, CASE WHEN n.day IS NULL THEN 'missing' WHEN date_diff('day', n.day, DATE '{TODAY[:10]}') < ttl THEN 'fresh' ELSE 'stale' END AS state, coalesce(k.n, 0) AS n, most
+    FROM s LEFT JOIN n USING (source_id) LEFT JOIN k ON k.source_id = n.source_id AND k.day = n.day""")
+def snapshot_gate(spark, sf):
+    """Each day's events of a type as a snapshot of that day; the newest of each that there is by TODAY is read, and no other."""
+    folder = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    day = F.to_date("ts")
+    e = table(spark, sf, "events").select(F.col("event_type").alias("source_id"), day.alias("day"), "value")
+    e = e.filter(~((F.col("source_id") == "purchase") & (F.col("day") > F.lit("2024-01-12").cast("date"))))
+    e.repartition("source_id", "day").write.partitionBy("source_id", "day").parquet(folder)
+    days = e.select("source_id", "day").distinct().collect()  # one for each file
+    snapshots.dated(spark, folder, {f"source_id={r.source_id}/day={r.day}": int(dt.datetime.combine(r.day, dt.time(), dt.UTC).timestamp() * 1000) for r in days})
+    gated = snapshots.gate(snapshots.listed(spark, folder), spark.createDataFrame([(k, d * 86_400) for k, d in DAYS.items()], "source_id string, ttl long"), F.lit(TODAY).cast("timestamp"))
+    rows = snapshots.chosen(spark, gated, "parquet").groupBy("source_id").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    done = cut(gated.join(rows, "source_id", "left").select("source_id", "state", F.coalesce("n", F.lit(0)).alias("n"), "most"))
+    remove(spark, folder)
+    return done
+
+
 @query("SELECT l_returnflag AS source_id, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL")
 def source_pruning(spark, sf):
-    only = [x.strip() for x in " A, R ,".split(",") if x.strip()]
+    every = [registry.Source(k, None, k) for k in "ANR"]
+    only = [s.id for s in registry.chosen(" A, R ,".split(","), every)]
     return table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin(only)).groupBy(F.col("l_returnflag").alias("source_id")).agg(F.count("*").alias("n"))
 
 
