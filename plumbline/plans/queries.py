@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import sql
 from plumbline.functions import text as t
 from plumbline.functions import values as v
 from plumbline.functions import variants
@@ -28,13 +29,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(same: str | None = None):
     """Register a query under its function's name."""
 
     def put(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        if same:
+            ORACLE_SQL[f.__name__] = same
         return f
 
     return put
@@ -877,3 +878,47 @@ def scored_pairs(spark, sf):
     page = F.concat(F.lit('\\"model\\":\\"'), "event_type", gap, F.lit('\\"score\\":'), F.col("value").cast("string"), F.lit("}"))
     e = table(spark, sf, "events").select("event_id", F.regexp_extract(page, PAIR, 1).alias("name"), F.regexp_extract(page, PAIR, 2).try_cast("double").alias("score")).filter("score is not null")
     return arb.pick_first(e, ["name"], "event_id").select("name", "score")
+
+
+# The same in Spark SQL alone
+
+
+def in_sql(spark, sf, statement: str, *tables: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(statement, **{x: table(spark, sf, x) for x in tables})
+
+
+@query(ORACLE_SQL["normalize_name"])
+def sql_normal_name(spark, sf):
+    return in_sql(spark, sf, "SELECT page_id, normal_name(url) AS name FROM {pages}", "pages")
+
+
+@query(ORACLE_SQL["compact_key"])
+def sql_compact_name(spark, sf):
+    return in_sql(spark, sf, "SELECT p_partkey, compact_name(concat(p_brand, '/', p_name, ' v', p_size, '.5-z.ai:x')) AS key FROM {part}", "part")
+
+
+@query(ORACLE_SQL["as_score_curve"])
+def sql_fraction_score(spark, sf):
+    return in_sql(spark, sf, "SELECT p_partkey, six_decimals(fraction_score((p_size - 5) / 4D * if(p_partkey % 3 = 0, 10, 1))) AS score FROM {part}", "part")
+
+
+@query(ORACLE_SQL["robust_norm_linear"])
+def sql_linear_score(spark, sf):
+    return in_sql(spark, sf, """
+        WITH p AS (SELECT c_mktsegment AS metric, percentile(c_acctbal, 0.05D) AS low, percentile(c_acctbal, 0.95D) AS high FROM {customer} GROUP BY c_mktsegment)
+        SELECT CAST(c_custkey AS STRING) AS entity, metric, six_decimals(linear_score(c_acctbal, low, high, true)) AS score FROM {customer} JOIN p ON c_mktsegment = metric""", "customer")
+
+
+@query(ORACLE_SQL["missing_safe_avg"])
+def sql_known_mean(spark, sf):
+    sql.register(spark)
+    keys = sorted(WEIGHTS)
+    given = f"known_mean(array({', '.join(keys)}), array({', '.join(f'{WEIGHTS[k]}D' for k in keys)}))"
+    return spark.sql(f"SELECT entity, six_decimals({given}) AS value FROM {{scores}}", scores=part_scores(spark, sf))
+
+
+@query(ORACLE_SQL["score_tier"])
+def sql_score_tier(spark, sf):
+    sql.register(spark)
+    return spark.sql("SELECT entity, score_tier(a + 19) AS tier FROM {scores}", scores=part_scores(spark, sf))
