@@ -14,7 +14,7 @@ from plumbline.functions import text as t
 from plumbline.functions import values as v
 from plumbline.functions import variants
 from plumbline.operators import arbitrate as arb
-from plumbline.operators import history, match, rank, score, synthesize, triage
+from plumbline.operators import history, match, rank, score, shapes, synthesize, triage
 from plumbline.operators.aggregate import Band
 from plumbline.operators.cuts import cut, remove, shared_folder
 from plumbline.operators.effort import effort_class
@@ -674,20 +674,22 @@ def stateful_incident_health(spark, sf):
 
 @query("SELECT user_id, max(value) FILTER (WHERE event_type IN ('view', 'click')) AS review, arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS last, arg_min(value, event_id) FILTER (WHERE event_type = 'purchase') AS first FROM events GROUP BY user_id")
 def max_merge(spark, sf):
-    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type").isin("view", "click"), F.col("value"))).alias("review"), F.max_by("value", bought).alias("last"), F.min_by("value", bought).alias("first"))
+    kind, value, at = F.col("event_type"), F.col("value"), F.col("event_id")
+    return table(spark, sf, "events").groupBy("user_id").agg(
+        shapes.largest(value, kind.isin("view", "click")).alias("review"), shapes.last(value, kind == "purchase", at).alias("last"), shapes.first(value, kind == "purchase", at).alias("first")
+    )
 
 
-@query("SELECT c_custkey, cents / (100.0e0 * n) AS mean FROM customer JOIN (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE AS cents, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
+@query("SELECT c_custkey, cents / n AS mean FROM customer JOIN (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT)::DOUBLE AS cents, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
 def avg_inner_join(spark, sf):
-    means = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / (F.lit(100.0) * F.count("*"))).alias("mean"))
-    return table(spark, sf, "customer").join(means, "c_custkey").select("c_custkey", "mean")
+    cents = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.round(F.col("o_totalprice") * 100).cast("long").alias("mean"))
+    return table(spark, sf, "customer").select("c_custkey").join(shapes.mean_by(cents, "c_custkey", "mean"), "c_custkey")
 
 
-@query("SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END, d.source) AS name FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' END, CAST(d.doc_id AS VARCHAR)) AS name FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def dictionary_left_join(spark, sf):
-    named = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("display"))
-    return table(spark, sf, "documents").select("doc_id", "source").join(named, "doc_id", "left").select("doc_id", F.coalesce("display", "source").alias("name"))
+    named = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("name"))
+    return shapes.shown_as(table(spark, sf, "documents").select("doc_id"), "doc_id", named, "name")
 
 
 @query("WITH h AS (SELECT 's' || s_suppkey AS k, s_acctbal AS x FROM supplier UNION ALL SELECT s_name, -s_acctbal FROM supplier) SELECT p_partkey, CASE WHEN a.k IS NOT NULL THEN a.x ELSE b.x END AS x FROM part LEFT JOIN h a ON a.k = 's' || (p_partkey % 500) LEFT JOIN h b ON b.k = 'Supplier#' || lpad(CAST(p_partkey % 150 AS VARCHAR), 9, '0')")
@@ -734,7 +736,7 @@ def json_number_coerce(spark, sf):
 @query("WITH x AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, list(DISTINCT event_type) AS s FROM events GROUP BY ALL) SELECT user_id, day, list_contains(s, 'click') OR list_contains(s, 'purchase') AS buys, len(s) AS n FROM x")
 def array_flags(spark, sf):
     x = table(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("event_type").alias("s"))
-    return x.select("user_id", "day", F.arrays_overlap("s", F.array(F.lit("click"), F.lit("purchase"))).alias("buys"), F.size("s").cast("long").alias("n"))
+    return x.select("user_id", "day", shapes.has_any(F.col("s"), "click", "purchase").alias("buys"), F.size("s").cast("long").alias("n"))
 
 
 @query(f"SELECT p_partkey, {micro_sql('x')} AS cost FROM (SELECT p_partkey, 0.75e0 * (p_retailprice - 900) + 0.25e0 * p_size AS x FROM (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 900 - p_size ELSE p_retailprice END AS p_retailprice, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS p_size FROM part)) WHERE x > 0")
@@ -798,7 +800,7 @@ def stable_sort_seq(spark, sf):
 def dynamic_key_lookup(spark, sf):
     """Values under keys that are made from other columns."""
     e = table(spark, sf, "events").withColumn("stats", F.create_map(F.concat_ws(":", F.col("user_id").cast("string"), "event_type"), F.from_json("props", "k bigint")))
-    x = e.withColumn("k", F.try_element_at("stats", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))["k"])
+    x = e.withColumn("k", shapes.under(F.col("stats"), F.col("user_id"), F.col("event_type"))["k"])
     return x.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
@@ -810,8 +812,8 @@ def sample_fields(spark, sf):
 
 @query("SELECT name, results FROM (SELECT p_brand AS name, count(*) AS results, min(p_partkey) AS pos FROM part WHERE p_brand IN ('Brand#7', 'Brand#2') GROUP BY p_brand) ORDER BY pos LIMIT 1")
 def first_board(spark, sf):
-    boards = table(spark, sf, "part").filter(F.col("p_brand").isin("Brand#7", "Brand#2")).groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("results"), F.min("p_partkey").alias("pos"))
-    return boards.orderBy("pos").limit(1).select("name", "results")
+    boards = table(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("results"), F.min("p_partkey").alias("pos"))
+    return shapes.first_of(boards, F.col("name"), ("Brand#7", "Brand#2"), "pos").select("name", "results")
 
 
 @query("SELECT event_id, '[{\\\"k\\\": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || ', \\\"t\\\": \\\"a]b\\\"}]' AS found FROM events".replace('\\"', '"'))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import parse_accuracy, unescape_once
 from plumbline.functions.values import finite, number_like, once
+from plumbline.operators import shapes
 from plumbline.operators.arbitrate import pick_first
 from plumbline.sources.html_tables import table_rows
 from plumbline.sources.rows import SCHEMA, PayloadError, some, to_rows
@@ -54,11 +55,11 @@ def swerebench(df: DataFrame) -> DataFrame:
     """Headline rates from an escaped array in a page; a model's agentic run stands before its plain one."""
     schema = "array<struct<modelName: string, agentVersion: string, taskRangeTimestamp: struct<from: bigint, to: bigint>, rangeStats: map<string,struct<resolvedRate: double>>>>"
     x = df.select(F.posexplode(F.from_json(unescape_once(items_array(F.col("value"))), schema)).alias("pos", "i"))
-    key = F.concat_ws(":", F.col("i.taskRangeTimestamp.from").cast("string"), F.col("i.taskRangeTimestamp.to").cast("string"))
+    stats = shapes.under(F.col("i.rangeStats"), F.col("i.taskRangeTimestamp.from"), F.col("i.taskRangeTimestamp.to"))
     priority = F.lit(0)
     for agent, p in AGENTS:
         priority = F.when(F.col("i.agentVersion") == agent, p).otherwise(priority)
-    x = x.select("pos", F.col("i.modelName").alias("name"), priority.alias("p"), finite(F.try_element_at("i.rangeStats", key)["resolvedRate"]).alias("rate")).filter("name is not null and rate is not null")
+    x = x.select("pos", F.col("i.modelName").alias("name"), priority.alias("p"), finite(stats["resolvedRate"]).alias("rate")).filter("name is not null and rate is not null")
     best = pick_first(x, ["name"], F.desc("p"), "pos")
     return some(to_rows(best, "swerebench", F.col("name"), None, {"SWERebench": F.col("rate")}, "name"), "swerebench")
 

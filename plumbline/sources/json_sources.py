@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import variants
 from plumbline.functions.text import extract_model, vendor_of_id
 from plumbline.functions.values import blended_cost, effort_priority, finite, first_number, json_number, mean_of_present, number_like, positive
+from plumbline.operators import shapes
 from plumbline.operators.arbitrate import pick_first
 from plumbline.operators.history import incident_health, open_incident, worst
 from plumbline.sources.rows import items, low_hint, named, some, to_rows
@@ -21,7 +22,7 @@ def openrouter(df: DataFrame) -> DataFrame:
     f = lambda name: F.col(f"item.{name}")
     name = F.coalesce(f("id"), f("canonical_slug"), f("name"))
     prompt, completion = number_like(f("pricing.prompt")), number_like(f("pricing.completion"))
-    has = lambda *names: F.arrays_overlap(f("supported_parameters"), F.array(*map(F.lit, names)))
+    has = lambda *names: shapes.has_any(f("supported_parameters"), *names)
     fields = {
         "ModelId": f("id"),
         "CanonicalSlug": f("canonical_slug"),
@@ -68,13 +69,13 @@ def arena(pages: DataFrame) -> DataFrame:
         F.coalesce(r("category"), F.lit("overall")).alias("category"),
         *[number_like(r(k)).alias(k) for k in ("rating", "rank", "vote_count", "rating_lower", "rating_upper")],
     ).filter("category = 'overall'")
-    last = lambda c, when=None: F.max_by(c, F.when(F.col(c).isNotNull() & (when if when is not None else F.lit(True)), F.col("at")))
+    last = lambda c, when=None: shapes.last(F.col(c), F.lit(True) if when is None else when, F.col("at"))
     own = lambda *configs: F.col("config").isin(*configs)
     g = flat.groupBy("name", "org").agg(
         last("rating", own("text")).alias("text"),
-        F.min_by("rating", F.when(own("text"), F.col("at"))).alias("creative"),
+        shapes.first(F.col("rating"), own("text"), F.col("at")).alias("creative"),
         last("rating", own("webdev")).alias("code"),
-        F.max(F.when(own("search", "document"), F.col("rating"))).alias("review"),
+        shapes.largest(F.col("rating"), own("search", "document")).alias("review"),
         *[last(c).alias(c) for c in ("rank", "vote_count", "rating_lower", "rating_upper")],
     )
     fields = {"LMArenaText": "text", "LMArenaCreativeOrOpenEnded": "creative", "CopilotArenaOrLMArenaCode": "code", "LMArenaSearchDocument": "review", "Rank": "rank", "VoteCount": "vote_count", "RatingLower": "rating_lower", "RatingUpper": "rating_upper"}
@@ -167,7 +168,7 @@ def swebench(df: DataFrame, verified: tuple[str, ...] = ("Verified", "SWE-bench
     board = items(df, "leaderboards array<struct<name: string, results: array<struct<name: string, resolved: string>>>>", "leaderboards")
     out = None
     for nth, (names, metric) in enumerate(((verified, "SWEBenchVerified"), (multilingual, "SWEBenchMultilingual"))):
-        first = board.filter(F.trim("item.name").isin(*names)).orderBy("pos").limit(1)
+        first = shapes.first_of(board, F.trim("item.name"), names, "pos")
         if nth == 0:
             some(first, "swebench")
         r = first.select(F.posexplode("item.results").alias("at", "r")).withColumn("resolved", finite(number_like(F.col("r.resolved"))))
@@ -180,9 +181,9 @@ def swebench(df: DataFrame, verified: tuple[str, ...] = ("Verified", "SWE-bench
 def livecodebench(df: DataFrame) -> DataFrame:
     """The mean of each listed model's results."""
     schema = "models array<struct<model_repr: string>>, performances array<map<string,string>>"
-    means = items(df, schema, "performances").select(F.col("item")["model"].alias("model"), finite(number_like(F.col("item")["pass@1"], trim=True)).alias("p")).filter("p is not null").groupBy("model").agg(F.avg("p").alias("p"))
+    means = items(df, schema, "performances").select(F.col("item")["model"].alias("model"), finite(number_like(F.col("item")["pass@1"], trim=True)).alias("p"))
     models = items(df, schema, "models").filter(named(F.col("item.model_repr"))).select("pos", F.trim("item.model_repr").alias("model"))
-    return to_rows(models.join(means, "model"), "livecodebench", F.col("model"), None, {"LiveCodeBench": F.col("p")}, "pos")
+    return to_rows(models.join(shapes.mean_by(means, "model", "p"), "model"), "livecodebench", F.col("model"), None, {"LiveCodeBench": F.col("p")}, "pos")
 
 
 def gso(df: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ def sonar(df: DataFrame) -> DataFrame:
 def arc_agi(df: DataFrame, dataset: str = "v2_Semi_Private") -> DataFrame:
     """Scores of one data set under display names; the first of a name counts."""
     schema = "models array<struct<id: string, displayName: string>>, evaluations array<struct<datasetId: string, modelId: string, score: string>>"
-    shown = items(df, schema, "models").filter("item.id is not null and item.displayName is not null").groupBy("item.id").agg(F.max_by("item.displayName", "pos").alias("display"))
+    shown = items(df, schema, "models").filter("item.id is not null and item.displayName is not null").groupBy(F.col("item.id").alias("modelId")).agg(F.max_by("item.displayName", "pos").alias("name"))
     e = items(df, schema, "evaluations").filter(F.col("item.datasetId") == dataset).select("pos", "item.modelId", finite(number_like(F.col("item.score"))).alias("score")).filter("modelId is not null and score is not null")
-    x = e.join(shown, F.col("modelId") == F.col("id"), "left").withColumn("name", F.coalesce("display", "modelId"))
+    x = shapes.shown_as(e, "modelId", shown, "name")
     return some(to_rows(pick_first(x, ["name"], "pos"), "arc_agi", F.col("name"), None, {"ARC_AGI_2": F.col("score") * 100.0}, "pos"), "arc_agi")
