@@ -14,8 +14,8 @@ column of sections, a section is a line with the line feed that ends it. Given
 sections may overlap or leave gaps; they are code point spans, cut to the text,
 and a null or empty list gives no rows. Null texts count as empty; an empty
 text has no lines; very long texts are encoded whole. Repeated rows each give
-their sections; an empty table gives no rows. Other columns than
-the id go.
+their sections, as do sections of equal bounds, each under its own number; an
+empty table gives no rows. Columns may have any name; others than the id go.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ def count(df: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     content = bpe.shared(df, path)
-    given = [F.expr(f"transform(`{sections}`, s -> named_struct('start', cast(s.start as bigint), 'end', cast(s.end as bigint)))").alias("given")] if sections else []
+    bound = lambda s, k: s[k].cast("long").alias(k)
+    given = [F.transform(named(sections), lambda s: F.struct(bound(s, "start"), bound(s, "end"))).alias("given")] if sections else []
     docs = df.select(named(id_col).alias("doc_id"), named(text).cast("string").alias("text"), *given)
     schema = StructType([docs.schema["doc_id"]])
     for f in FIELDS:

@@ -59,3 +59,15 @@ def test_odd_rows(odd, docs, library):
     assert token_counts.count(docs((1, "x")).limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         token_counts.count(odd, PATH, rule="none")
+
+
+def test_overlapping_and_equal_sections_under_odd_names(docs, library):
+    text = "hello wörld again"
+    tokens = library.encode(text, add_special_tokens=False).offsets
+    spans = [(0, 5), (3, 12), (3, 12), (12, 12), (9, 4), (5, 99), (-3, 2)]
+    df = docs((1, text)).withColumn("a`b.c", F.array(*[F.struct(F.lit(s).alias("start"), F.lit(e).alias("end")) for s, e in spans]))
+    got = {r.section: (r.start, r.end, r.n_tokens, r.n_crossing) for r in token_counts.count(df, PATH, sections="a`b.c").collect()}
+    for k, (s, e) in enumerate(spans):
+        s, e = max(s, 0), min(e, len(text))
+        own = [t for t in tokens if s <= t[0] < e]
+        assert got[k][0] == s and got[k][1] == e and got[k][2:] == (len(own), sum(t[1] > e for t in own))
