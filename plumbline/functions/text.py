@@ -115,8 +115,9 @@ def parse_accuracy(s: Column) -> Column:
 
 
 def cell_text(s: Column) -> Column:
-    """Text of an HTML cell: no tags, one blank between words."""
-    return F.trim(F.regexp_replace(html_unescape(F.regexp_replace(s, "<[^>]*>", "")), r"\s+", " "))
+    """Text of an HTML cell: no tags, one blank between words, no blank of any script at the ends."""
+    words = F.regexp_replace(html_unescape(F.regexp_replace(s, "<[^>]*>", "")), r"[\t\n\f\r ]+", " ")
+    return F.regexp_replace(words, r"^\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", "")
 
 
 def unescape_once(s: Column) -> Column:

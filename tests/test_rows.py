@@ -23,6 +23,10 @@ def test_normal_names(spark):
     assert of(spark, t.compact_key, "Claude Opus 4.7") == ["claudeopus47"]
 
 
+def test_cells_end_without_blanks_of_any_script(spark):
+    assert of(spark, t.cell_text, "<b>a</b> \n b&#x3000;", "\u00a0 \u2003a\u3000b \u2028", "a\x0bb", " &nbsp; ", None) == ["a b", "a\u3000b \u2028", "a\x0bb", "", None]
+
+
 @pytest.mark.parametrize("mark", [" ", "-", "_"])
 def test_suffixes(spark, mark):
     names = [f"alpha{mark}{s.replace(' ', mark)}" for s in t.SUFFIXES]
