@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INFINITY = float("inf")
+#: Letters that no form of a number has, so that most texts are told from numbers without an attempt to read them.
+NOT_OF_NUMBERS = "[ghj-moq-su-wzGHJ-MOQ-SU-WZ]"
 #: Prompt and completion parts of a blended price (fixed values).
 PROMPT_PART, COMPLETION_PART = 0.75, 0.25
 #: Lower bounds of score tiers, and the least change that counts (fixed values).
@@ -27,7 +29,7 @@ def finite(x: Column) -> Column:
 def number_like(x: Column, trim: bool = False) -> Column:
     """A number of a JSON value's text; forms that only Java reads, as '5d', aren't numbers."""
     x = F.trim(x) if trim else x
-    return F.when(~x.rlike(r"[dDfF\s]$|^\s"), x.try_cast("double"))
+    return F.when(~x.rlike(r"[dDfF\s]$|^\s|" + NOT_OF_NUMBERS), x.try_cast("double"))
 
 
 def json_number(x: Column) -> Column:

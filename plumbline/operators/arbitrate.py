@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import json_number
-from plumbline.operators.effort import effort_rank, may_score, row_effort
+from plumbline.operators.effort import effort_rank, may_score, with_effort
 
 #: Metrics that are never borrowed from a sibling (fixed value).
 NOT_BORROWED = ("AI_canary_health",)
@@ -20,7 +20,7 @@ OVERRIDES = "overrides"
 def eligible_cells(rows: DataFrame, registry: DataFrame, exceptions: list[dict] = ()) -> DataFrame:
     """(entity, metric, raw, source_id, seq, effort, is_synth): numeric fields of matched rows that may score."""
     vendors = registry.select("entity", "vendor")
-    x = rows.filter("entity is not null").withColumn("effort", row_effort(F.col("model_name"), F.col("fields"))).join(vendors, "entity")
+    x = with_effort(rows.filter("entity is not null")).join(vendors, "entity")
     synth = F.col("synthesized_from").isNotNull()
     allowed = F.when(synth, may_score(F.col("effort"), F.col("source_id"), F.col("entity"), F.col("vendor"))).otherwise(may_score(F.col("effort"), F.col("source_id"), F.col("entity"), F.col("vendor"), list(exceptions)))
     cells = x.filter(allowed).select("entity", "source_id", "seq", effort_rank(F.col("effort")).alias("effort"), synth.alias("is_synth"), F.explode("fields").alias("metric", "text"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import contains_phrase, normalize_name
-from plumbline.functions.values import once
+from plumbline.functions.text import normalize_name
+from plumbline.functions.values import NOT_OF_NUMBERS, once
 
 #: Classes in their order of preference (fixed values).
 PREFERENCE = ("default", "medium", "thinking", "non_reasoning", "low", "high", "max", "other")
@@ -26,13 +28,14 @@ ALLOWED = ("default", "medium", "thinking")
 
 def effort_class(normal: Column) -> Column:
     """The class of a normal text; without any marker it is the default."""
-    out = F.lit("default")
-    for name, phrases in reversed(DECIDES):
-        hit = contains_phrase(normal, phrases[0])
-        for p in phrases[1:]:
-            hit = hit | contains_phrase(normal, p)
-        out = F.when(hit, name).otherwise(out)
-    return out
+
+    def first_of(padded: Column) -> Column:
+        out = F.lit("default")
+        for name, phrases in reversed(DECIDES):
+            out = F.when(reduce(Column.__or__, [padded.contains(f" {p} ") for p in phrases]), name).otherwise(out)
+        return out
+
+    return once(F.concat(F.lit(" "), normal, F.lit(" ")), first_of)
 
 
 def effort_rank(effort: Column) -> Column:
@@ -44,13 +47,20 @@ def effort_rank(effort: Column) -> Column:
 
 def row_text(name: Column, fields: Column) -> Column:
     """A row's name and its texts (a map, numbers left out) in the order of their keys."""
-    values = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.element_at(fields, k))
-    words = F.filter(values, lambda v: v.isNotNull() & v.try_cast("double").isNull() & ~v.isin("true", "false"))
+    values = F.sort_array(F.map_entries(fields)).getField("value")
+    words = F.filter(values, lambda v: v.isNotNull() & (v.rlike(NOT_OF_NUMBERS) | v.try_cast("double").isNull()) & ~v.isin("true", "false"))
     return F.concat_ws(" ", name, words)
 
 
-def row_effort(name: Column, fields: Column) -> Column:
-    return once(normalize_name(row_text(name, fields)), effort_class)
+def with_effort(rows: DataFrame) -> DataFrame:
+    """Add ``effort``, the class of each row's name and texts.
+
+    Each step is made once a row, by explode(): a filter on a plain column would
+    repeat all that leads to it, in the conditions of joins too.
+    """
+    made = lambda df, step, name: df.select("*", F.explode(F.array(step)).alias(name))
+    normal = made(rows, normalize_name(row_text(F.col("model_name"), F.col("fields"))), "__normal")
+    return made(normal, effort_class(F.col("__normal")), "effort").drop("__normal")
 
 
 def may_score(effort: Column, source_id: Column, entity: Column, vendor: Column, exceptions: list[dict] = ()) -> Column:

@@ -187,7 +187,8 @@ def effort_sql(normal: str) -> str:
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of sources A, N and R for parts, with effort markers of orders' priorities; R plays the hand-set source."""
-    line = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_quantity").alias("qty"), F.max("l_discount").alias("disc"))
+    # dealt by order, which serves the grouping and the join alike
+    line = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_returnflag", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_quantity").alias("qty"), F.max("l_discount").alias("disc"))
     order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     x = line.join(order, "l_orderkey")
     part = F.concat(F.lit("p"), F.lpad(F.col("pk").cast("string"), 7, "0"))

@@ -27,6 +27,14 @@ def test_cells_end_without_blanks_of_any_script(spark):
     assert of(spark, t.cell_text, "<b>a</b> \n b&#x3000;", "\u00a0 \u2003a\u3000b \u2028", "a\x0bb", " &nbsp; ", None) == ["a b", "a\u3000b \u2028", "a\x0bb", "", None]
 
 
+def test_efforts_are_read_once_a_row(spark):
+    """No condition of a join or filter repeats what reads the texts, and the classes stay."""
+    rows = spark.createDataFrame([("A", k, name, None, {"q": "1", "t": text}, None, "e") for k, (name, text) in enumerate([("m &amp; High", "1e5"), ("m", "thinking"), ("m max", "Infinity"), ("m", None)])], ROWS)
+    cells = arbitrate.eligible_cells(rows.repartition(2), spark.createDataFrame([("e", 1, "v", "E", [])], REGISTRY))
+    assert cells._jdf.queryExecution().optimizedPlan().toString().count("moonshot ai") == 1
+    assert sorted((r.seq, r.metric, r.effort) for r in cells.collect()) == [(1, "q", 2), (3, "q", 0)]
+
+
 @pytest.mark.parametrize("mark", [" ", "-", "_"])
 def test_suffixes(spark, mark):
     names = [f"alpha{mark}{s.replace(' ', mark)}" for s in t.SUFFIXES]
