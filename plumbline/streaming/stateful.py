@@ -25,66 +25,79 @@ from plumbline.operators.cuts import cut, remove, shared_folder
 
 INPUT = "key string, kind string, name string, ord long, value double, open boolean, ts timestamp"
 OUTPUT = "key string, version long, suites map<string,double>, incident double"
+STATE = "version long, readings array<struct<suite:string,ord:long,value:double>>, incidents array<struct<id:string,ord:long,health:double,open:boolean,until:long>>"
 #: The name of readings of no suite in the state.
 NONE = ""
 
 
 class Models(StatefulProcessor):
-    """State of one model: readings by suite, incidents by id."""
+    """State of one model: readings by suite, incidents by id.
+
+    All of it is one value, read and written once a batch: each access from Python is a round trip.
+    """
 
     def __init__(self, keep: int | None = None):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.readings = handle.getMapState("readings", "suite string", "ord long, value double")
-        self.incidents = handle.getMapState("incidents", "id string", "ord long, health double, open boolean, until long")
-        self.version = handle.getValueState("version", "n long")
+        self.model = handle.getValueState("model", STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest: dict[tuple[str, str], Row] = {}
-        for r in rows:  # the newest of the batch first, so that each state is read and written once
-            at = (r.kind, r.name or NONE)
-            if (r.kind == "incident" or r.value is not None) and (at not in newest or newest[at].ord < r.ord):
-                newest[at] = r
+        newest: dict[tuple[str, str], tuple] = {}
+        for _, kind, name, at, value, is_open, ts in rows:  # the newest of the batch first
+            own = (kind, name or NONE)
+            if (kind == "incident" or value is not None) and (own not in newest or newest[own][0] < at):
+                newest[own] = (at, value, bool(is_open), ts)
+        version, readings, incidents = self.known()
         changed = False
-        for (kind, name), r in newest.items():
-            state = self.readings if kind == "reading" else self.incidents
-            old = state.getValue((name,)) if state.containsKey((name,)) else None
-            if old is not None and old[0] >= r.ord:
+        for (kind, name), (at, value, is_open, ts) in newest.items():
+            held = readings if kind == "reading" else incidents
+            if name in held and held[name][0] >= at:
                 continue
             changed = True
             if kind == "reading":
-                state.updateValue((name,), (r.ord, r.value))
+                held[name] = (at, value)
             else:
-                until = int(r.ts.timestamp() * 1000) + 1000 * self.keep if self.keep and r.ts else 0
-                state.updateValue((name,), (r.ord, r.value, bool(r.open), until))
+                until = int(ts.timestamp() * 1000) + 1000 * self.keep if self.keep and ts else 0
+                held[name] = (at, value, is_open, until)
                 if until:
                     self.handle.registerTimer(until)
         if changed:
-            yield self.told(key)
+            self.hold(version + 1, readings, incidents)
+            yield told(key, version + 1, readings, incidents)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, was_open = expiredTimerInfo.getExpiryTimeInMs(), False
-        for (name,), (_, _, is_open, until) in list(self.incidents.iterator()):
-            if until and until <= now:
-                was_open |= is_open
-                self.incidents.removeKey((name,))
+        now, (version, readings, incidents) = expiredTimerInfo.getExpiryTimeInMs(), self.known()
+        left = {name: x for name, x in incidents.items() if not x[3] or x[3] > now}
+        was_open = any(x[2] for name, x in incidents.items() if name not in left)
+        if len(left) < len(incidents):
+            self.hold(version + was_open, readings, left)
         if was_open:
-            yield self.told(key)
+            yield told(key, version + 1, readings, left)
+
+    def known(self) -> tuple[int, dict, dict]:
+        version, readings, incidents = self.model.get() or (0, [], [])
+        return version, {name: tuple(x) for name, *x in readings}, {name: tuple(x) for name, *x in incidents}
+
+    def hold(self, version: int, readings: dict, incidents: dict) -> None:
+        self.model.update((version, [(name, *x) for name, x in readings.items()], [(name, *x) for name, x in incidents.items()]))
+
+
+def told(key, version: int, readings: dict, incidents: dict) -> Row:
+    worst = [health for _, health, is_open, _ in incidents.values() if is_open and health is not None]
+    return Row(key=key[0], version=version, suites={suite: value for suite, (_, value) in readings.items()}, incident=min(worst, default=None))
+
 
-    def told(self, key) -> Row:
-        n = self.version.get()[0] + 1 if self.version.exists() else 1
-        self.version.update((n,))
-        suites = {suite: value for (suite,), (_, value) in self.readings.iterator()}
-        worst = [health for _, (_, health, is_open, _) in self.incidents.iterator() if is_open and health is not None]
-        return Row(key=key[0], version=n, suites=suites, incident=min(worst, default=None))
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def followed(rows: DataFrame, keep: int | None = None, delay: str = "1 hour") -> DataFrame:
     """(key, version, suites, incident) of each model that a batch has changed; ``version`` counts up. Needs the RocksDB state store."""
     mode = "EventTime" if keep else "None"
-    x = rows.withWatermark("ts", delay) if keep else rows
+    x = rows.select(*names_of(INPUT))
+    x = x.withWatermark("ts", delay) if keep else x
     return x.groupBy("key").transformWithState(statefulProcessor=Models(keep), outputStructType=OUTPUT, outputMode="Update", timeMode=mode)
 
 
@@ -108,8 +121,8 @@ def replayed(rows: DataFrame, batches: int, keep: int | None = None) -> DataFram
     """latest() state after a table has gone through the stream in about ``batches`` batches, dealt by a hash, whatever their order."""
     spark = rows.sparkSession
     ready(spark)
-    folder, names = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", [x.split()[0] for x in INPUT.split(", ")]
-    rows.select(*names).repartition(batches, F.xxhash64("key", "name", "ord")).write.parquet(f"{folder}/in")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.select(*names_of(INPUT)).repartition(batches, F.xxhash64("key", "name", "ord")).write.parquet(f"{folder}/in")
     files = max(1, len(spark.read.parquet(f"{folder}/in").inputFiles()) // batches)
     stream = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/{n}")
