@@ -105,18 +105,25 @@ def lineages(kept: DataFrame, present: DataFrame, written) -> DataFrame:
     return listed.select("source_id", F.col("last").alias("pair_idx"), "origin", trail.alias("trail")).join(kept, ["source_id", "pair_idx"]).select("source_id", "pair_idx", "target", "donor", "origin", "trail")
 
 
-def synthesize_chained(rows: DataFrame, pairs: DataFrame, registry: DataFrame, cap: float) -> DataFrame:
-    """As synthesize(), but clones may donate to later pairs.
+def listing(rows: DataFrame) -> DataFrame:
+    """(source_id, entity, n_rows, last): the rows of each source and entity, and their greatest seq."""
+    return rows.groupBy("source_id", "entity").agg(F.count("*").alias("n_rows"), F.max("seq").alias("last"))
+
 
+def chained_clones(rows: DataFrame, pairs: DataFrame, registry: DataFrame, cap: float) -> tuple[DataFrame, DataFrame]:
+    """Clones of rows and of clones, with their pair_idx and trail, and (source_id, n_rows, last) of the sources.
+
+    Rows are gone through twice: for what sources list, which is written, and for what is cloned of them.
     Which pairs emit doesn't depend on later ones, and a source's cap stops all
     pairs from some point on; so first all that could emit are found, then the
     cap is applied to these, and then lineages are followed through what is left.
     """
     names = registry.select(F.col("entity").alias("target"), F.col("display").alias("target_display"))
-    sizes = rows.groupBy("source_id").agg(F.count("*").alias("n_rows"), F.max("seq").alias("last"))
     with tables(rows.sparkSession) as written:
         known = written(pairs.join(names.select("target"), "target").select("pair_idx", "target", "donor"))
-        present = written(rows.filter("entity is not null").select("source_id", "entity").distinct())
+        listed = written(listing(rows))
+        sizes = cut(listed.groupBy("source_id").agg(F.sum("n_rows").alias("n_rows"), F.max("last").alias("last")))
+        present = listed.filter("entity is not null").select("source_id", "entity")
         could = emissions(present, known, written)
         kept = written(could.join(kept_pairs(could.select("source_id", "pair_idx"), sizes.select("source_id", "n_rows"), cap), ["source_id", "pair_idx"]))
         found = cut(lineages(kept, present, written))
@@ -125,7 +132,13 @@ def synthesize_chained(rows: DataFrame, pairs: DataFrame, registry: DataFrame, c
     given = rows.join(asked, (F.col("source_id") == F.col("__source")) & (F.col("entity") == F.col("origin")))
     # a clone that is cloned bears the name that its pair gave it
     named = given.withColumn("model_name", F.when(F.size("trail") > 0, F.col("donor_display")).otherwise(F.col("model_name")))
-    new = placed(cloned(named, "trail"), "source_id", "pair_idx", ["trail", "seq"], down=False)
+    return cloned(named, "trail"), sizes
+
+
+def synthesize_chained(rows: DataFrame, pairs: DataFrame, registry: DataFrame, cap: float) -> DataFrame:
+    """As synthesize(), but clones may donate to later pairs."""
+    clones, sizes = chained_clones(rows, pairs, registry, cap)
+    new = placed(clones, "source_id", "pair_idx", ["trail", "seq"], down=False)
     return rows.unionByName(new.join(sizes.select("source_id", "last"), "source_id").withColumn("seq", F.col("last") + F.col("place")).select(*rows.columns))
 
 
