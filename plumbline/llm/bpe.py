@@ -38,7 +38,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Above this code point the Unicode tables of the two regex engines differ in places.
 SAME_TABLES_BELOW = 0x500
 #: Bytes of text whose pre-tokens share one index, and bytes that leave at a time.
-INDEX_BYTES, PIECE_WORDS = 4_000_000, 100_000
+INDEX_BYTES, PIECE_WORDS = 2_000_000, 100_000
+#: Places whose pairs are looked up at a time when an index is made.
+NOTED = 200_000
 #: Pre-tokens that a task keeps from slice to slice, and their characters, before it starts anew.
 MOST_WORDS, MOST_CHARACTERS = 300_000, 8_000_000
 #: A vocabulary file beyond this goes to executors as a file of the job instead of a broadcast.
@@ -139,8 +141,11 @@ class Codec:
                     index[rank] = [positions]
                     heapq.heappush(active, rank)
 
-        here = ((symbol[:-1] >= 0) & (symbol[1:] >= 0)).nonzero()[0].astype(np.int32)
-        note(here, symbol[here], symbol[here + 1])
+        del inside
+        for low in range(0, len(symbol) - 1, NOTED):
+            part = symbol[low : low + NOTED + 1]
+            here = ((part[:-1] >= 0) & (part[1:] >= 0)).nonzero()[0].astype(np.int32)
+            note(here + np.int32(low), part[here], part[here + 1])
         while active:
             rank = heapq.heappop(active)
             lists = index.pop(rank)
@@ -167,9 +172,10 @@ class Codec:
             left, right = symbol[lead], symbol[follow]
             l_ok, r_ok = left >= 0, right >= 0
             note(np.concatenate([lead[l_ok], at[r_ok]]), np.concatenate([left[l_ok], np.full(int(r_ok.sum()), new, np.int32)]), np.concatenate([np.full(int(l_ok.sum()), new, np.int32), right[r_ok]]))
+        del after, before
         alive = symbol >= 0
-        total = np.concatenate([[0], np.cumsum(alive)])
-        counts = total[ends] - total[ends - 1 - n] if len(n) else n
+        total = np.cumsum(alive, dtype=np.int32)  # places between words count nothing: a word ends where the next begins
+        counts = np.diff(total[ends - 1], prepend=0).astype(np.int64) if len(n) else n
         ids = symbol[alive]
         if special := [i for i, w in enumerate(words) if w in self.special]:
             at = np.cumsum(counts)[special]
